@@ -32,6 +32,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "token-cache"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeat_digests
+
+    return repeat_digests(_docs(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,5 +46,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_sharding, op5_token_counts, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_sharding, op5_token_counts, op7_substring_dedup, op9_byte_bpe)}
 ORACLE: dict[str, str] = {}
