@@ -38,6 +38,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_docs(spark, sf_dir))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), k=3, percent=85)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,5 +52,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_sharding, op5_token_counts, op7_substring_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_sharding, op5_token_counts, op7_substring_dedup, op8_minhash, op9_byte_bpe)}
 ORACLE: dict[str, str] = {}
