@@ -127,4 +127,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
 
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == key).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Written, so that the join deals it anew and can split the rows of a hot digest.
+    return rows.join(written(counts, "token-counts"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
