@@ -72,6 +72,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 5, slack: flo
         "shard-rows",
     )
     groups = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+    groups = written(groups, "shard-groups")  # so that the join deals it anew and can split a hot group
     start = F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(shards)).cast("int")
     rows = written(rows.join(groups, "group", "left").withColumn("shard", start), "shard-start")
 
@@ -83,7 +84,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 5, slack: flo
         near = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
         # Most neighbours first, ties to the smaller shard number.
         best = near.groupBy("group").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b")).select("group", (-F.col("b.s")).alias("to"))
-        wish = written(linked.join(best, "group"), "shard-wish")
+        wish = written(linked.join(written(best, "shard-best"), "group"), "shard-wish")
         flows = {(r.shard, r.to): r.n for r in wish.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}
         sizes = [alone.get(s, 0) + sum(k for (i, _), k in flows.items() if i == s) for s in range(shards)]
         asked = {(i, j): k for (i, j), k in flows.items() if i != j}

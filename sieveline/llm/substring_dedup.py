@@ -177,7 +177,7 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _search(variants: DataFrame) -> DataFrame:
     """anchor, content, mask of the passages of which some windows start earlier in another passage."""
-    n = variants.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
+    n = written(variants.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "varied")
     variants = variants.join(n, "anchor")
     shard = "anchor long, content long, mask long"
     few = variants.where(F.col("variants") <= HOT_PASSAGES).select("anchor", "content", "words", "doc_id", "many")
@@ -226,7 +226,8 @@ def find_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     source = source.where(F.octet_length("text") >= 2 * WINDOW - 1)
     runs = written(source.mapInArrow(_anchors, "doc_id long, key long, anchor long, window int, many int, lead int"), "anchors")
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, here and below, so that a join deals it anew and can split hot anchors.
+    twice = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "recurring")
     runs = runs.join(twice, "anchor").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "window", "many")).alias("runs"))
     passages = source.join(runs, ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
     passages = passages.mapInArrow(_passages, "doc_id long, key long, anchor long, window int, many int, words binary")
@@ -234,6 +235,7 @@ def find_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     variants = written(passages.groupBy("anchor", "content", "words", "many").agg(F.min("doc_id").alias("doc_id")), "variants")
     masks = written(_search(variants), "masks")
     least = variants.select("anchor", "content", F.col("doc_id").alias("least")).join(masks, ["anchor", "content"], "left")
+    least = written(least, "least")
     full = F.expr("shiftleft(1L, many) - 1")  # many is at most 43
     found = passages.drop("words").join(least, ["anchor", "content"])
     found = found.withColumn("mask", F.when(F.col("doc_id") > F.col("least"), full).otherwise(F.col("mask"))).where(F.col("mask") != 0)
