@@ -11,6 +11,12 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_gbt import classify_quality
+
+    return classify_quality(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import host_rules
 
@@ -32,6 +38,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "token-cache"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeat_digests
 
@@ -52,5 +64,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_sharding, op5_token_counts, op7_substring_dedup, op8_minhash, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_gbt, op3_quality_rules, op4_sharding, op5_token_counts, op6_toxicity, op7_substring_dedup, op8_minhash, op9_byte_bpe)}
 ORACLE: dict[str, str] = {}
