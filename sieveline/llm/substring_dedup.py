@@ -44,46 +44,40 @@ WINDOW, RUN = 50, 8
 SPAN = WINDOW - RUN + 1
 #: Symbols that one FM-index holds; a shard of whole anchors may be somewhat larger.
 SHARD = 250_000
-#: An anchor with more different passages than this is cut into single windows.
-HOT_PASSAGES = 1500
+#: An anchor with more different passages than this is cut into single windows: an index of so many takes some 300 MB.
+HOT_PASSAGES = 20_000
 
 
 def anchors(f: Flat) -> tuple[np.ndarray, ...]:
-    """For each run of windows with one anchor: document, anchor hash, first window, windows, anchor's place in the first."""
-    n = len(f.doc) - WINDOW + 1
+    """For each run of at most SPAN windows with one anchor: document, anchor, first window, windows."""
     none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none, none, none, none, none
+    n = len(f.doc) - WINDOW + 1
+    inside = np.flatnonzero(f.doc[:n] == f.doc[WINDOW - 1 :]) if n > 0 else none
+    if not len(inside):
+        return none, none, none, none
     v = rolled(f.word_hash, RUN)
-    p = np.arange(len(v))
     step = 1
-    while step < SPAN:  # leftmost minimum of 1, 2, 4, ... runs, at last of SPAN
-        step_by = min(step, SPAN - step)
-        left, right = v[:-step_by], v[step_by:]
-        less = right < left
-        v = np.where(less, right, left)
-        p = np.where(less, p[step_by:], p[:-step_by])
-        step += step_by
-    inside = np.flatnonzero(f.doc[:n] == f.doc[WINDOW - 1 :])
-    if not len(inside):
-        return none, none, none, none, none
-    at, doc = p[inside], f.doc[inside]
+    while step < SPAN:  # minima of 1, 2, 4, ... runs, at last of SPAN
+        by = min(step, SPAN - step)
+        v = np.minimum(v[:-by], v[by:])
+        step += by
+    v, doc = v[inside].view(np.int64), f.doc[inside]
     new = np.ones(len(inside), bool)
-    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    many = np.diff(np.append(first, len(inside)))
-    window = inside[first]
-    return doc[first], v[window].view(np.int64), window - f.first[doc[first]], many, at[first] - window
+    place = np.arange(len(inside)) - np.repeat(first, np.diff(np.append(first, len(inside))))
+    first = np.flatnonzero(place % SPAN == 0)  # repeated words can keep an anchor for longer
+    return doc[first], v[first], inside[first] - f.first[doc[first]], np.diff(np.append(first, len(inside)))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for rows, f in slices(b.column(2)):
-            doc, anchor, window, many, lead = anchors(f)
+            doc, anchor, window, many = anchors(f)
             part = b.slice(rows.start, rows.stop - rows.start).select([0, 1]).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(anchor), pa.array(window.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(lead.astype(np.int32))],
-                ["doc_id", "key", "anchor", "window", "many", "lead"],
+                [*part.columns, pa.array(anchor), pa.array(window.astype(np.int32)), pa.array(many.astype(np.int32))],
+                ["doc_id", "key", "anchor", "window", "many"],
             )
 
 
@@ -117,12 +111,12 @@ def earlier_windows(passages: list[bytes], docs: np.ndarray) -> list[int]:
     owner[place[1:] - 1] = np.arange(n - 1)
     owner[-1] = n - 1
     index = FMIndex(symbols, 2 * WINDOW)
+    docs = np.unique(docs, return_inverse=True)[1].astype(np.int32)
     least = RangeMin(docs[owner[index.sa]])
-    far = np.iinfo(np.int64).max
 
     def earlier(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lo, hi = index.search(symbols, place[k] + a, place[k] + b)
-        return least.over(lo, hi, far) < docs[k]
+        return least.over(lo, hi, len(docs)) < docs[k]
 
     masks = np.zeros(n, U64)
     k = np.arange(n)
@@ -225,7 +219,7 @@ def find_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, key (hash of the text) and the covered windows as a list of (window, mask), for documents that have any."""
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     source = source.where(F.octet_length("text") >= 2 * WINDOW - 1)
-    runs = written(source.mapInArrow(_anchors, "doc_id long, key long, anchor long, window int, many int, lead int"), "anchors")
+    runs = written(source.mapInArrow(_anchors, "doc_id long, key long, anchor long, window int, many int"), "anchors")
     # Written, here and below, so that a join deals it anew and can split hot anchors.
     twice = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "recurring")
     runs = runs.join(twice, "anchor").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "window", "many")).alias("runs"))
