@@ -45,15 +45,9 @@ def quotas(asked: dict[tuple[int, int], int], sizes: list[int], capacity: float)
     return share
 
 
-def _pick(pairs: list[tuple], value: dict, *cols: str):
-    """A CASE over a handful of shard numbers."""
-    out = F.lit(0.0)
-    for p in pairs:
-        test = F.lit(True)
-        for c, v in zip(cols, p, strict=True):
-            test = test & (F.col(c) == F.lit(v))
-        out = F.when(test, F.lit(value[p])).otherwise(out)
-    return out
+def _table(values: list[float], at):
+    """The value at a place of a short list (a constant array in the plan)."""
+    return F.element_at(F.lit(list(map(float, values))), at.cast("int") + 1)
 
 
 def _unit(*cols):
@@ -93,7 +87,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 5, slack: flo
         share = quotas(asked, sizes, capacity)
         together = F.col("members") <= F.lit(capacity / 8)
         dice = F.when(together, _unit("group")).otherwise(_unit("row_id"))
-        allowed = _pick(list(share), share, "shard", "to")
+        allowed = _table([share.get((i, j), 0.0) for i in range(shards) for j in range(shards)], F.col("shard") * shards + F.col("to"))
         linked = wish.withColumn("shard", F.when((F.col("shard") != F.col("to")) & (dice <= allowed), F.col("to")).otherwise(F.col("shard"))).drop("to")
     linked = linked.select(F.col("row_id").alias("id"), F.col("shard").alias("moved"))
     rows = rows.join(linked, F.col("row_id") == F.col("id"), "left").withColumn("shard", F.coalesce("moved", "shard")).drop("id", "moved")
@@ -114,21 +108,20 @@ def settle(rows: DataFrame, n: int, shards: int, bucket_rows: int) -> DataFrame:
     before = before.select("shard", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     have = {r.shard: r.n for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     want = {s: n // shards + (s < n % shards) for s in range(shards)}
-    over, gaps, o, g = {}, [], 0, 0
+    over, gaps, o, g = [], [], 0, 0
     for s in range(shards):
         extra = have.get(s, 0) - want[s]
-        over[s,] = o
+        over.append(o)
         if extra > 0:
             o += extra
         elif extra < 0:
             gaps.append((g, g - extra, s))
             g -= extra
-    everyone = [(s,) for s in range(shards)]
     ranked = rows.join(before, ["shard", "bucket"]).withColumn(
         "rank", F.col("before") + F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("group", "row_id")) - 1
     )
-    quota = _pick(everyone, {(s,): want[s] for s in range(shards)}, "shard")
-    moved = (_pick(everyone, over, "shard") + F.col("rank") - quota).cast("long")
+    quota = _table([want[s] for s in range(shards)], F.col("shard"))
+    moved = (_table(over, F.col("shard")) + F.col("rank") - quota).cast("long")
     ranked = ranked.withColumn("gap", F.when(F.col("rank") >= quota, moved))
     shard, slot = F.col("shard"), F.col("rank")
     for lo, hi, s in gaps:
