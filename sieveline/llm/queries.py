@@ -11,6 +11,12 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(_docs(spark, sf_dir, "pages"))
+
+
 def op2_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_gbt import classify_quality
 
@@ -64,5 +70,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_gbt, op3_quality_rules, op4_sharding, op5_token_counts, op6_toxicity, op7_substring_dedup, op8_minhash, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_gbt, op3_quality_rules, op4_sharding, op5_token_counts, op6_toxicity, op7_substring_dedup, op8_minhash, op9_byte_bpe)}
 ORACLE: dict[str, str] = {}
