@@ -70,5 +70,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_gbt, op3_quality_rules, op4_sharding, op5_token_counts, op6_toxicity, op7_substring_dedup, op8_minhash, op9_byte_bpe)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contamination
+
+    return find_contamination(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_gbt, op3_quality_rules, op4_sharding, op5_token_counts, op6_toxicity, op7_substring_dedup, op8_minhash, op9_byte_bpe, op10_decontaminate)}
 ORACLE: dict[str, str] = {}

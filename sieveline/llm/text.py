@@ -146,6 +146,11 @@ def in_groups(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, new
 
 
+def folded(text: pa.Array) -> pa.Array:
+    """Lower case of all scripts, one code point for each."""
+    return pc.utf8_lower(text)
+
+
 def slices(text: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Iterator[tuple[slice, Flat]]:
     """Rows and flat text of successive slices; null counts as empty."""
     if isinstance(text, pa.ChunkedArray):

@@ -1,6 +1,6 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Tokens are words without their outer punctuation, lower-cased (ASCII).  Labels
+Tokens are words without their outer punctuation, lower-cased.  Labels
 are given for documents only, so token labels for training come from them:
 words that occur in a far larger share of toxic than of other documents are
 tagged in the toxic ones, all other tokens are not.  The field has two tags,
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_gbt import held_out, labelled
-from .text import Flat, U, mix, rolled, slices
+from .text import Flat, U, folded, mix, rolled, slices
 
 HALF, PREFIX = 6, 4
 _INNER = np.ones(256, bool)
@@ -251,7 +251,7 @@ def _ascend(out: Field, word: np.ndarray, y: np.ndarray, steps: int) -> None:
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, y and the token hashes of whole texts, for the sample."""
     for b in batches:
-        for rows, f in slices(b.column(2), lower=True):
+        for rows, f in slices(folded(b.column(2))):
             h, _, _ = tokens(f)
             lists = pa.ListArray.from_arrays(pa.array((2 * f.first).astype(np.int32)), pa.array(h.ravel()))
             part = b.slice(rows.start, len(f))
@@ -278,7 +278,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6_000, thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows, f in slices(b.column(1), lower=True):
+            for rows, f in slices(folded(b.column(1))):
                 h, start, end = tokens(f)
                 at, p = crf.marginals(h, f.first)
                 hit = at[p >= 0.5]
