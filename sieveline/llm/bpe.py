@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -159,42 +160,45 @@ def with_bpe(spark: SparkSession, path: str, pattern: str):
     return lambda: loaded(key, sent.value, pattern)
 
 
-def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: the columns ``keep``, ids, and the bytes that decoding the ids gives."""
+def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
+    """Per row: the columns ``keep``, the number of ids, digests of ids and of the decoded bytes, and the ids if asked for."""
     get = with_bpe(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
-        for b in batches:
-            for i in range(0, len(b), 64):
-                part = b.slice(i, 64)
-                ids = [bpe.encode(x or "") for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())],
-                    [*part.schema.names[:-1], "ids", "decoded"],
-                )
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                b = batch.slice(at, 256)
+                n, of_ids, of_bytes, all_ids = [], [], [], []
+                for x in b.column(b.num_columns - 1):
+                    packed = bpe.packed(x.as_py() or "")
+                    n.append(len(packed) // 4)
+                    of_ids.append(hashlib.sha256(packed).hexdigest())
+                    of_bytes.append(hashlib.sha256(bpe.decode(memoryview(packed).cast("I").tolist())).hexdigest())
+                    if ids:
+                        all_ids.append(packed)
+                cols = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+                names = [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
+                if ids:
+                    flat = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(all_ids))])
+                    cols.append(pa.ListArray.from_arrays(pa.array(list(accumulate(n, initial=0)), pa.int32()), flat))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, f"{kept}, ids array<int>, decoded binary")
+    more = ", ids array<int>" if ids else ""
+    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: the columns ``keep``, the number of ids and the digests of ids and of the decoded bytes."""
-    get = with_bpe(docs.sparkSession, path, pattern)
+def decode_table(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row: the columns ``keep`` and the bytes that the ids stand for (null ids: null)."""
+    get = with_bpe(encoded.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
         for b in batches:
-            n, of_ids, of_bytes = [], [], []
-            for x in b.column(b.num_columns - 1):
-                packed = bpe.packed(x.as_py() or "")
-                n.append(len(packed) // 4)
-                of_ids.append(hashlib.sha256(packed).hexdigest())
-                of_bytes.append(hashlib.sha256(bpe.decode(memoryview(packed).cast("I").tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            out = [None if x is None else bpe.decode(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], [*b.schema.names[:-1], "decoded"])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kept = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
+    return encoded.select(*keep, encoded[ids].alias("__ids")).mapInArrow(run, f"{kept}, decoded binary")

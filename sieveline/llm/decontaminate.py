@@ -26,8 +26,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +73,7 @@ class Index:
 
     ids: np.ndarray
     words: list[np.ndarray]
-    parts: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    parts: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
     def of(ids: list[int], texts: list[str]) -> Index:
@@ -88,16 +90,24 @@ class Index:
                 item = np.concatenate([np.full(len(x), i) for x, i in found])
                 at = np.concatenate([np.arange(len(x)) for x, _ in found])
                 order = np.argsort(s, kind="stable")
-                table = np.zeros(_TABLE, bool)
-                table[(s >> U(42)).astype(np.int64)] = True
-                parts.append((mask, table, s[order], item[order], at[order]))
+                parts.append((mask, s[order], item[order], at[order]))
         return Index(np.array(ids, np.int64), words, parts)
 
+    @cached_property
+    def tables(self) -> list[np.ndarray]:
+        """For each mask which upper bits of hashes occur; made where the index is used."""
+        out = []
+        for _, s, _, _ in self.parts:
+            table = np.zeros(_TABLE, bool)
+            table[(s >> U(42)).astype(np.int64)] = True
+            out.append(table)
+        return out
+
     def overlaps(self, f: Flat) -> dict[int, dict[int, int]]:
         """For each contaminated document of a slice its items with the most equal words in a window."""
         h = tokens(f)[0][:, 0].view(U)
         tried: list[np.ndarray] = []
-        for mask, table, s, item, at in self.parts:
+        for (mask, s, item, at), table in zip(self.parts, self.tables, strict=True):
             d = seeds(h, mask)
             place = np.flatnonzero(table[(d >> U(42)).astype(np.int64)])
             lo, hi = (np.searchsorted(s, d[place], side) for side in ("left", "right"))
@@ -169,19 +179,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "equal_words")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The clean rows of docs, all columns."""
-    import pandas as pd
+def _clean(index: Index):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        out = []
+        for _, f in slices(folded(pa.array(texts, pa.string()))):
+            found = index.overlaps(f)
+            out += [i not in found for i in range(len(f))]
+        return pd.Series(out, dtype=bool)
 
-    for index in _blocks(benchmark):
+    return clean
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index: Index = index) -> pd.Series:
-            out = []
-            for _, f in slices(folded(pa.array(texts, pa.string()))):
-                found = index.overlaps(f)
-                out += [i not in found for i in range(len(f))]
-            return pd.Series(out, dtype=bool)
 
-        docs = docs.where(clean(text))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The clean rows of docs, all columns."""
+    for index in _blocks(benchmark):
+        docs = docs.where(_clean(index)(text))
     return docs

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,9 +177,13 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(_measure, f"doc_id {kind}, x array<float>")
 
 
-def train(stats: DataFrame, labels: DataFrame, sample: int = 30_000) -> Trees:
-    """Trees from a bounded sample of the labelled rows outside the held-out fold."""
-    chosen = labelled(labels, "quality", 4, 2).orderBy(F.xxhash64("id"), "id").limit(sample)
+def sampled(labels: DataFrame, sample: int) -> DataFrame:
+    """id, y of the bounded sample of labelled rows outside the held-out fold."""
+    return labelled(labels, "quality", 4, 2).orderBy(F.xxhash64("id"), "id").limit(sample)
+
+
+def train(stats: DataFrame, chosen: DataFrame, sample: int) -> Trees:
+    """Trees from the sampled rows."""
     rows = stats.join(chosen, F.col("doc_id") == F.col("id")).select("id", "y", "x").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     y = rows.column("y").to_numpy().astype(float)
     x = np.concatenate([_rows(c) for c in rows.column("x").chunks]) if len(y) else np.zeros((0, len(FEATURES)), np.float32)
@@ -201,18 +206,18 @@ def scored(stats: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame:
 
 def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = 30_000, threshold: float = 0.7) -> DataFrame:
     stats = written(measured(docs), "statistics")
-    return scored(stats, train(stats, labels, sample), threshold)
+    return scored(stats, train(stats, sampled(labels, sample), sample), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 30_000, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, that the classifier accepts."""
-    trees = train(written(measured(docs), "statistics"), labels, sample)
+    chosen = written(sampled(labels, sample), "quality-sample")
+    # At most ``sample`` ids, so they can be sent to every task.
+    trees = train(measured(docs.join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"), "left_semi")), chosen, sample)
 
     @F.pandas_udf("double")
-    def score(texts):
+    def score(texts: pd.Series) -> pd.Series:
         out = [trees.score(statistics(f)) for _, f in slices(pa.array(texts, pa.string()))]
-        import pandas as pd
-
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.where(score("text") >= threshold)

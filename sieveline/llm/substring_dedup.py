@@ -31,6 +31,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -291,7 +292,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without the covered words; texts without any stay as they are."""
 
     @F.pandas_udf("string")
-    def cut(texts, covered):
+    def cut(texts: pd.Series, covered: pd.Series) -> pd.Series:
         return texts.combine(covered, lambda t, c: t if c is None else cut_words(t, covered_words(len(t.encode().split()), c)))
 
     marked = with_repeats(docs, text)
