@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches, written
 from .text import Flat, U, folded, mix, slices
 from .toxicity import tokens
 
@@ -159,14 +160,13 @@ def _match(index: Index):
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Per row: doc_id, whether it is contaminated, the items and the most equal words in a window."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = list(_blocks(benchmark))
     if len(blocks) == 1:
         out = docs.select("doc_id", text).mapInArrow(_match(blocks[0]), f"doc_id {kind}, item_ids array<bigint>, equal_words int")
     else:
         # Results of the passes are put together by row; the row's number is stable because the rows are written first.
-        from .store import written
-
         rows = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")), "to-match")
         schema = f"doc_id {kind}, row long, item_ids array<bigint>, equal_words int"
         parts = [rows.mapInArrow(_match(b), schema) for b in blocks]
@@ -193,6 +193,7 @@ def _clean(index: Index):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The clean rows of docs, all columns."""
+    small_batches(docs.sparkSession)
     for index in _blocks(benchmark):
         docs = docs.where(_clean(index)(text))
     return docs

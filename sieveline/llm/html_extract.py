@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 
 BROADCAST = 64 << 20
 #: Nodes of a page that take part in the alignment; text beyond them is content like any slot's.
@@ -332,6 +332,7 @@ def _sized(df: DataFrame, column: str) -> DataFrame:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
+    small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]+)", 1))
     source = pages.select("page_id", "url", F.when(host != "", host).alias("host"), "html")
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import SYMBOLS, counts
-from .store import written
+from .store import small_batches, written
 from .text import Flat, in_groups, per_doc, slices
 
 BINS = 64
@@ -173,6 +173,7 @@ def held_out(folds: int, held: int):
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and the statistics x of each row."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text).mapInArrow(_measure, f"doc_id {kind}, x array<float>")
 

@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lets Arrow batches hold some MB at most (Spark's own bound is far higher), so that texts of any length leave room in an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/sieveline/{what}-{uuid.uuid4().hex}"
 
