@@ -1,4 +1,5 @@
-"""Registered queries over the given tables, each with its SQL."""
+"""Registered queries over the given tables, each with its SQL where SQL can say the same."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
