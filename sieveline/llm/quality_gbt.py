@@ -214,7 +214,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 30_000, threshol
     """The rows of docs, all columns, that the classifier accepts."""
     chosen = written(sampled(labels, sample), "quality-sample")
     # At most ``sample`` ids, so they can be sent to every task.
-    trees = train(measured(docs.join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"), "left_semi")), chosen, sample)
+    trees = train(measured(docs.select("doc_id", "text").join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"), "left_semi")), chosen, sample)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -55,7 +55,7 @@ def _unit(*cols):
     return (F.xxhash64(*cols) / F.lit(2.0**64)) + F.lit(0.5)
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 5, slack: float = 0.25, text: str = "text", bucket_rows: int = 4000) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: float = 0.25, text: str = "text", bucket_rows: int = 4000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row."""
     content = F.coalesce(F.col(text), F.lit(""))
     rows = written(
@@ -74,21 +74,26 @@ def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 5, slack: flo
     alone = {r.shard: r.n for r in rows.where(F.col("members").isNull()).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     n = rows.count()
     capacity = math.ceil(n / shards) * (1 + slack)
-    for _ in range(rounds):
+    large = F.col("members") > F.lit(capacity / 3)
+    for turn in range(rounds):
         near = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
         # Most neighbours first, ties to the smaller shard number.
         best = near.groupBy("group").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b")).select("group", (-F.col("b.s")).alias("to"))
         wish = written(linked.join(written(best, "shard-best"), "group"), "shard-wish")
-        flows = {(r.shard, r.to): r.n for r in wish.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}
-        sizes = [alone.get(s, 0) + sum(k for (i, _), k in flows.items() if i == s) for s in range(shards)]
-        asked = {(i, j): k for (i, j), k in flows.items() if i != j}
-        if not asked:
+        flows = {(r.shard, r.to, r.large): r.n for r in wish.groupBy("shard", "to", large.alias("large")).agg(F.count("*").alias("n")).collect()}
+        sizes = [alone.get(s, 0) + sum(k for (i, _, _), k in flows.items() if i == s) for s in range(shards)]
+        if all(i == j for i, j, _ in flows):
             break
-        share = quotas(asked, sizes, capacity)
-        together = F.col("members") <= F.lit(capacity / 8)
-        dice = F.when(together, _unit("group")).otherwise(_unit("row_id"))
-        allowed = _table([share.get((i, j), 0.0) for i in range(shards) for j in range(shards)], F.col("shard") * shards + F.col("to"))
-        linked = wish.withColumn("shard", F.when((F.col("shard") != F.col("to")) & (dice <= allowed), F.col("to")).otherwise(F.col("shard"))).drop("to")
+        shares = []
+        for kind in (False, True):  # groups that fit go first
+            asked = {(i, j): k for (i, j, x), k in flows.items() if x == kind and i != j}
+            share = quotas(asked, sizes, capacity)
+            for (i, j), k in asked.items():
+                sizes[i] -= round(k * share[i, j])
+                sizes[j] += round(k * share[i, j])
+            shares.append(_table([share.get((i, j), 0.0) for i in range(shards) for j in range(shards)], F.col("shard") * shards + F.col("to")))
+        move = F.when(large, _unit("row_id", F.lit(turn)) <= shares[1]).otherwise(_unit("group", F.lit(turn)) <= shares[0])
+        linked = wish.withColumn("shard", F.when((F.col("shard") != F.col("to")) & move, F.col("to")).otherwise(F.col("shard"))).drop("to")
     linked = linked.select(F.col("row_id").alias("id"), F.col("shard").alias("moved"))
     rows = rows.join(linked, F.col("row_id") == F.col("id"), "left").withColumn("shard", F.coalesce("moved", "shard")).drop("id", "moved")
     return settle(rows, n, shards, bucket_rows)
