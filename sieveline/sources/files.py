@@ -66,18 +66,27 @@ def ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return out
 
 
+def _small_file(spark: SparkSession, path: str) -> str:
+    """A file's text, empty if there is none. Spark's own readers pass over names that begin with a dot."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
 def read_tree(spark: SparkSession, root: str, repo: str, gitignore: str | None = None, pattern: str = "*.go", skip_generated: bool = True) -> DataFrame:
     """repo, path, text of a source tree: files below the size limit, outside skipped and ignored folders."""
     at = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(at).where(F.col("length") <= V.MAX_FILE_BYTES)
     full = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     if gitignore is None:
-        try:
-            gitignore = "\n".join(r.value for r in spark.read.text(f"{at}/.gitignore").collect())
-        except Exception as e:  # no such file: nothing is ignored
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            gitignore = ""
+        gitignore = _small_file(spark, f"{at}/.gitignore")
     base = re.sub("^[a-z0-9]+:/*", "/", at) + "/"
     rel = F.substring(full, len(base) + 1, 100_000)
     files = files.where(~F.arrays_overlap(F.split(full, "/"), F.lit(list(V.SKIP_DIRS)))).where(~ignored(rel, ignore_rules(gitignore)))
