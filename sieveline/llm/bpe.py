@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .store import small_batches
 
 #: Entries that a worker's memos of pieces and of token pairs hold at most; older ones are computed anew.
-MEMO = 300_000
+MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -29,7 +29,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,21 +178,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "equal_words")
 
 
-def _clean(index: Index):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        out = []
-        for _, f in slices(folded(pa.array(texts, pa.string()))):
-            found = index.overlaps(f)
-            out += [i not in found for i in range(len(f))]
-        return pd.Series(out, dtype=bool)
+def _clean(index: Index, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, f in slices(folded(b.column(text))):
+                found = index.overlaps(f)
+                yield b.slice(rows.start, len(f)).filter(pa.array([i not in found for i in range(len(f))], pa.bool_()))
 
-    return clean
+    return run
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The clean rows of docs, all columns."""
     small_batches(docs.sparkSession)
     for index in _blocks(benchmark):
-        docs = docs.where(_clean(index)(text))
+        docs = docs.mapInArrow(_clean(index, text), docs.schema)
     return docs

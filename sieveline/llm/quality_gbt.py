@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,9 +215,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 30_000, threshol
     # At most ``sample`` ids, so they can be sent to every task.
     trees = train(measured(docs.select("doc_id", "text").join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"), "left_semi")), chosen, sample)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out = [trees.score(statistics(f)) for _, f in slices(pa.array(texts, pa.string()))]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, f in slices(b.column("text")):
+                yield b.slice(rows.start, len(f)).filter(pa.array(trees.score(statistics(f)) >= threshold))
 
-    return docs.where(score("text") >= threshold)
+    return docs.mapInArrow(run, docs.schema)

@@ -31,7 +31,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -292,9 +291,16 @@ def cut_words(text: str, out: np.ndarray) -> str:
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without the covered words; texts without any stay as they are."""
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, covered: pd.Series) -> pd.Series:
-        return texts.combine(covered, lambda t, c: t if c is None else cut_words(t, covered_words(len(t.encode().split()), c)))
-
-    marked = with_repeats(docs, text)
-    return marked.withColumn(text, F.when(F.col("__covered").isNull(), F.col(text)).otherwise(cut(text, "__covered"))).select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, covered = b.schema.get_field_index(text), b.column(b.num_columns - 1)
+            rest = b.select(range(b.num_columns - 1))
+            if covered.null_count < len(b):
+                texts = b.column(at).to_pylist()
+                for i, c in enumerate(covered):
+                    if c.is_valid:
+                        texts[i] = cut_words(texts[i], covered_words(len(texts[i].encode().split()), c.as_py()))
+                rest = rest.set_column(at, rest.schema.field(at), pa.array(texts, rest.schema.field(at).type))
+            yield rest
+
+    return with_repeats(docs, text).mapInArrow(run, docs.schema)
