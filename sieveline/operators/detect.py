@@ -23,10 +23,16 @@ def java(pattern: str) -> str:
 def spans(text: Column, pattern: str, sign: str | None = None) -> Column:
     """array<struct<at, m>>: offset and text of each match. No pattern may match the empty string."""
     m, g = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = lambda i: F.aggregate(F.slice(F.zip_with(g, m, lambda x, y: F.length(x) + F.coalesce(F.length(y), F.lit(0))), 1, i), F.lit(0), lambda a, n: a + n) + F.length(g[i])
-    found = F.transform(m, lambda x, i: F.struct(start(i).alias("at"), x.alias("m")))
+    # An array of one struct binds both lists, so that the pattern runs twice a text and not again for each match.
+    once = F.array(F.struct(m.alias("m"), g.alias("g")))
+
+    def place(s: Column, i: Column) -> Column:
+        lengths = F.zip_with(F.slice(s["g"], 1, i), F.slice(s["m"], 1, i), lambda x, y: F.length(x) + F.length(y))
+        return F.aggregate(lengths, F.length(s["g"][i]), lambda a, n: a + n)
+
+    found = F.flatten(F.transform(once, lambda s: F.transform(s["m"], lambda x, i: F.struct(place(s, i).alias("at"), x.alias("m")))))
     none = F.array().cast("array<struct<at:int,m:string>>")
-    return F.when(text.rlike(sign) & (F.size(m) > 0), found).otherwise(none) if sign else F.when(F.size(m) > 0, found).otherwise(none)
+    return F.when(text.rlike(sign), found).otherwise(none) if sign else F.coalesce(found, none)
 
 
 def _value(kind: str, m: Column) -> tuple[Column, Column]:
