@@ -96,20 +96,24 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _symbols(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of passages behind each other, a separator 0 behind each; the place of each one's first; the passage of each symbol."""
+    hashes, counts = [], []
+    for _, f in slices(pa.array(passages, pa.binary())):
+        hashes.append(f.word_hash)
+        counts.append(np.diff(f.first))
+    count = np.concatenate(counts)
+    owner = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    ids = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    symbols = np.zeros(len(ids) + len(count), np.int64)
+    symbols[np.arange(len(ids)) + owner] = ids + 1
+    return symbols, np.concatenate([[0], np.cumsum(count + 1)]), np.repeat(np.arange(len(count), dtype=np.int32), count + 1)
+
+
 def earlier_windows(passages: list[bytes], docs: np.ndarray) -> list[int]:
     """For each passage, bit w says that its window w also starts in a passage with a smaller document."""
-    f = Flat(np.frombuffer(b"".join(passages), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in passages])]).astype(np.int64))
-    first = f.first
     n = len(passages)
-    _, ids = np.unique(f.word_hash, return_inverse=True)
-    # Passages behind each other, a separator 0 behind each.
-    place = first[:-1] + np.arange(n)
-    symbols = np.zeros(len(ids) + n, np.int64)
-    symbols[np.arange(len(ids)) + f.doc] = ids + 1
-    owner = np.zeros(len(symbols), np.int64)
-    owner[np.arange(len(ids)) + f.doc] = f.doc
-    owner[place[1:] - 1] = np.arange(n - 1)
-    owner[-1] = n - 1
+    symbols, place, owner = _symbols(passages)
     index = FMIndex(symbols, 2 * WINDOW)
     docs = np.unique(docs, return_inverse=True)[1].astype(np.int32)
     least = RangeMin(docs[owner[index.sa]])
@@ -120,7 +124,7 @@ def earlier_windows(passages: list[bytes], docs: np.ndarray) -> list[int]:
 
     masks = np.zeros(n, U64)
     k = np.arange(n)
-    lo, hi = np.zeros(n, np.int64), np.diff(first) - WINDOW  # first and last window of each run
+    lo, hi = np.zeros(n, np.int64), np.diff(place) - 1 - WINDOW  # first and last window of each run
     while len(k):
         some = earlier(k, hi, lo + WINDOW)
         k, lo, hi = k[some], lo[some], hi[some]
@@ -194,13 +198,8 @@ def _check_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if not rows:
             return
         passages, docs = [r[2] for r in rows], np.array([r[3] for r in rows], np.int64)
-        f = Flat(np.frombuffer(b"".join(passages), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in passages])]).astype(np.int64))
-        _, ids = np.unique(f.word_hash, return_inverse=True)
-        symbols = np.zeros(len(ids) + len(rows), np.int64)
-        symbols[np.arange(len(ids)) + f.doc] = ids + 1
-        owner = np.repeat(np.arange(len(rows)), np.diff(f.first) + 1)
-        index = FMIndex(symbols, WINDOW)
-        place = f.first[:-1] + np.arange(len(rows))
+        symbols, place, owner = _symbols(passages)
+        index, place = FMIndex(symbols, WINDOW), place[:-1]
         lo, hi = index.search(symbols, place, place + WINDOW)
         least = RangeMin(docs[owner[index.sa]]).over(lo, hi, np.iinfo(np.int64).max)
         yield pa.RecordBatch.from_arrays([pa.array([r[5] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(least)], ["anchor", "window", "least"])

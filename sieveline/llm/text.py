@@ -155,7 +155,7 @@ def slices(text: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Iter
     """Rows and flat text of successive slices; null counts as empty."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
-    text = pc.fill_null(text, "") if text.null_count else text
+    text = pc.fill_null(text, "") if text.null_count else text  # texts, or bytes without nulls
     kind = np.int64 if pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type) else np.int32
     if not len(text):
         return
