@@ -95,27 +95,16 @@ def test_precision(spark):
     assert evaluate.overall(s.where("n < 0")).first().precision is None
 
 
-def cut_slow(text):
-    out, pos = [], 0
-    if len(text) <= 1400:
-        return [(0, len(text))]
-    while pos < len(text):
-        end = min(len(text), pos + 1400)
-        nl = text.rfind("\n", pos + 1, end)
-        end = nl + 1 if nl != -1 and end < len(text) else end
-        out.append((pos, end))
-        if end >= len(text):
-            break
-        pos = max(pos + 1, end - 250)
-    return out
-
-
 def test_scan_windows():
     rng = random.Random(1)
     for _ in range(40):
         text = "".join(rng.choice(["a" * rng.randrange(300), "\n"]) for _ in range(rng.randrange(60)))
         got = W.cut(text)
-        assert got == cut_slow(text) and got[-1][1] == len(text) and all(b[0] < a[1] or a[1] == b[0] for a, b in zip(got, got[1:]))
+        assert got[0][0] == 0 and got[-1][1] == len(text)
+        for (a, b), (c, _) in zip(got, got[1:]):
+            assert c == max(a + 1, b - 250)
+            lines = text[a + 1 : a + 1400]
+            assert (text[b - 1] == "\n" and "\n" not in text[b : a + 1400]) if "\n" in lines else b == a + 1400
 
 
 def test_training_windows():
