@@ -94,7 +94,8 @@ def with_prelabels(candidates: DataFrame, prelabels: DataFrame) -> DataFrame:
 
 def append_verdicts(gold: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Gold with new verdicts; a later verdict of the same candidate replaces the earlier one."""
-    return gold.join(verdicts.select(*KEY), KEY, "left_anti").unionByName(verdicts, allowMissingColumns=True)
+    kept = gold.join(verdicts.select(*KEY), KEY, "left_anti").select(*gold.columns)
+    return kept.unionByName(verdicts, allowMissingColumns=True)
 
 
 def corrected_span(text: Column, line: Column, fragment: Column) -> tuple[Column, Column]:

@@ -139,3 +139,14 @@ def score_window(text: Column, start: Column, end: Column, reach: int = 700) ->
     """Text around a gold span, its lower edge moved back to a line start, and the span's offset in it."""
     low = snap(text, F.greatest(start - reach, F.lit(0)), False)
     return F.substring(text, low + 1, F.least(end + reach, F.length(text)) - low), start - low
+
+
+def round_trip_failures(windows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Spans of labelled windows that labelling and decoding do not bring back (cut-off tokens aside): should be none. windows: key, text, spans."""
+    spans = windows.select(*key, F.explode("spans").alias("s")).select(*key, "s.start", "s.end", "s.label").where(F.col("label").isin(*V.ENTITIES))
+    labels = align(tokens(windows, key), spans, key)
+    found = decode(labels, key, windows).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("start").alias("lo"), F.col("end").alias("hi"), F.col("label").alias("kind"))
+    last = labels.groupBy(*key).agg(F.max("tok_end").alias("last"))
+    inside = spans.join(last, list(key)).where("end <= last")
+    on = [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("label") == F.col("kind"), F.col("lo") <= F.col("start"), F.col("hi") >= F.col("end")]
+    return inside.join(found, on, "left_anti")
