@@ -16,8 +16,9 @@ score is a logistic function of its marginals (their sum, largest, and share
 of the words).
 
 The field is fitted on the driver to a bounded sample of labelled rows:
-``sample`` (6,000 unless told otherwise), half of them toxic where there are
-so many, with the smallest hashes of doc_id.  Everything else covers all rows.
+``sample`` (6,000 unless told otherwise; of at most ``most_words`` words
+together), half of them toxic where there are so many, with the smallest hashes
+of doc_id.  Everything else covers all rows.
 
 Defined cases: null counts as empty, and empty texts get a score like others;
 a null doc_id is not held out and never a training row; repeated labels of a
@@ -33,11 +34,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality_gbt import held_out, labelled
-from .store import small_batches
+from .store import small_batches, written
 from .text import Flat, U, folded, mix, rolled, slices
 
 HALF, PREFIX = 6, 4
@@ -259,12 +260,16 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "y", "h"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, text: str = "text") -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, text: str = "text", most_words: int = 3_000_000) -> Field:
+    """A field from the sampled rows, as many of them, in the order of their hashes, as have ``most_words`` words together."""
     known = labelled(labels, "toxic", 5, 0)
     half = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
     chosen = half[0].union(half[1])
     rows = docs.select("doc_id", text).join(chosen, F.col("doc_id") == F.col("id")).select(F.col("id").cast("long").alias("id"), "y", text)
-    got = rows.mapInArrow(_hashes, "id long, y int, h array<long>").toArrow().combine_chunks()
+    rows = written(rows.mapInArrow(_hashes, "id long, y int, h array<long>"), "toxic-sample")
+    so_far = F.sum(F.size("h")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), "id"))  # over the sample's sizes only
+    fitting = rows.select("id", so_far.alias("n")).where(F.col("n") <= 2 * most_words).select("id").distinct()
+    got = rows.join(F.broadcast(fitting), "id", "left_semi").toArrow().combine_chunks()
     if not got.num_rows:
         return fit_field(np.zeros((0, 2), np.int64), np.zeros(1, np.int64), np.zeros(0))
     got = got.sort_by("id")
