@@ -52,7 +52,7 @@ def _value(kind: str, m: Column) -> tuple[Column, Column]:
     return F.length(m) - F.length(v), v
 
 
-_ITEM = "array<struct<detector:string,entity:string,rank:int,start:int,end:int,line:int,col:int,value:string,left:string,right:string,other:string,base:double,in_test:double>>"
+_ITEM = "array<struct<detector:string,entity:string,rank:int,start:int,end:int,line:int,col:int,value:string,left:string,right:string,rest:string,other:string,base:double,in_test:double>>"
 
 
 def _item(text: Column, rank: int):
@@ -65,10 +65,13 @@ def _item(text: Column, rank: int):
         before = F.substring(text, F.lit(1), start)
         other = _value("dsn-password", x["m"])[1] if kind == "dsn-user" else F.lit(None).cast("string")
         left = F.substring_index(before, "\n", -1)
+        # The rest of the line, however long, for the one gate that reads it.
+        after = start + F.length(value) + 1
+        rest = F.substring_index(F.substring(text, after, F.length(text)), "\n", 1) if kind == "quad" else F.lit(None).cast("string")
         return F.struct(
             F.lit(name).alias("detector"), F.lit(entity).alias("entity"), F.lit(rank).alias("rank"), start.alias("start"), (start + F.length(value)).alias("end"),
             (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), (F.length(left) + 1).alias("col"), value.alias("value"),
-            left.alias("left"), F.substring(text, start + F.length(value) + 1, F.lit(1000)).alias("right"), other.alias("other"),
+            left.alias("left"), F.substring(text, after, F.lit(40)).alias("right"), rest.alias("rest"), other.alias("other"),
             F.lit(base).cast("double").alias("base"), F.lit(in_test).cast("double").alias("in_test"),
         )
 
@@ -98,7 +101,7 @@ def candidates(files: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
 def gated(c: DataFrame) -> DataFrame:
     """Adds in_test_path, suppressed_by (first gate that drops the candidate, else null), passes and confidence."""
     v, d, test = F.col("value"), F.col("detector"), P.in_test_path("path")
-    line = F.concat(F.col("left"), v, F.substring_index("right", "\n", 1))
+    line = F.concat("left", v, "rest")
     assigned = d.isin("key-assignment", "password-assignment", "username-assignment")
     domain = F.lower(F.substring_index(v, "@", -1))
     gates = [
@@ -114,7 +117,7 @@ def gated(c: DataFrame) -> DataFrame:
         ("reserved-range", (d == "ipv4") & P.is_reserved_ip(v)),
         ("version-line", (d == "ipv4") & line.rlike(V.VERSION_LINE)),
         ("handle-word", (d == "at-handle") & F.lower(v).isin(*V.HANDLE_WORDS)),
-        ("sql-variable", (d == "at-handle") & (F.regexp_replace("left", "@\\z", "").rlike(V.SQL_VAR_LEFT.replace("$", "\\z")) | F.substring("right", 1, 40).rlike(V.SQL_VAR_RIGHT))),
+        ("sql-variable", (d == "at-handle") & (F.regexp_replace("left", "@\\z", "").rlike(V.SQL_VAR_LEFT.replace("$", "\\z")) | F.col("right").rlike(V.SQL_VAR_RIGHT))),
         ("organization", (F.col("entity") == "NAME") & P.is_organization(v)),
         ("test-path", test & F.col("in_test").isNull()),
     ]
@@ -126,7 +129,7 @@ def gated(c: DataFrame) -> DataFrame:
         .withColumn("suppressed_by", why)
         .withColumn("passes", F.col("suppressed_by").isNull())
         .withColumn("confidence", F.when(test & F.col("passes"), F.col("in_test")).otherwise(F.col("base")))
-        .drop("left", "right", "other", "in_test")
+        .drop("left", "right", "rest", "other", "in_test")
     )
 
 

@@ -124,3 +124,12 @@ def test_many_escapes_do_not_overflow(spark):
 def test_assignments(spark, text, n):
     c = D.candidates(spark.createDataFrame([("r", "p", text)], "repo string, path string, text string"), ("password-assignment",))
     assert c.count() == n
+
+
+def test_version_far_behind_an_address(spark):
+    """The gate reads the whole line, and nothing of the next."""
+    far = "x" * 2_000
+    texts = [f"a 8.8.4.4 {far} version 3\nb", f"a 8.8.4.4 {far} v2\nb", f"a 8.8.4.4 {far}\nversion 3", f"a 8.8.4.4 {far} end"]
+    files = spark.createDataFrame([("r", f"{i}.go", t) for i, t in enumerate(texts)], "repo string, path string, text string")
+    got = {r.path: r.suppressed_by for r in D.candidates(files, ("ipv4",)).collect()}
+    assert got == {"0.go": "version-line", "1.go": "version-line", "2.go": None, "3.go": None}
