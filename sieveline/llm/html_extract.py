@@ -5,7 +5,8 @@
 2. The page of a host with the smallest page_id is the host's reference.  Every
    page's tree is aligned with it by simple tree matching: the order-preserving
    matching of children with the most nodes.  Equal first and last subtrees are
-   matched at once, which loses nothing; the rest takes dynamic programming.
+   matched at once, which loses nothing; the rest takes dynamic programming,
+   whatever its size.
 3. Over all pages of a host, a text that most pages have at the same node of the
    reference is template; the other texts fill slots.  Pages count once for
    each different content, so copies of an article do not make it a template.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from .store import small_batches, written
 
 BROADCAST = 64 << 20
-#: Nodes of a page that take part in the alignment; text beyond them is content like any slot's.
-NODES = 20_000
+#: Of the alignment, none of which changes its result: children up to which rows are lists, places of a table that is kept whole, weights kept, frames.
+SHORT, WHOLE, MEMO, DEPTH = 24, 1 << 20, 1 << 19, 1_000_000
 #: A text is template if this share of at least so many different pages has it at a node.
 SHARE, LEAST_PAGES = 0.6, 5
 
@@ -146,91 +148,164 @@ class Tree:
         return out
 
     def skeleton(self) -> bytes:
-        """Parent, label and text hash of the first NODES nodes."""
-        n = min(len(self.label), NODES)
+        """Parent, label and text hash of each node."""
+        n = len(self.label)
         out = np.zeros((n, 3), np.uint32)
-        out[:, 0] = np.array(self.parent[:n], np.int64).astype(np.uint32)
-        out[:, 1] = [crc32(x.encode()) for x in self.label[:n]]
+        out[:, 0] = np.array(self.parent, np.int64).astype(np.uint32)
+        out[:, 1] = [crc32(x.encode()) for x in self.label]
         for node, t in self.own_texts().items():
-            if node < n:
-                out[node, 2] = crc32(t.encode()) | 1
+            out[node, 2] = crc32(t.encode()) | 1
         return out.tobytes()
 
 
-def _children(s: np.ndarray) -> tuple[list[list[int]], list[int], list[int]]:
-    """Children, hash of the shape and size of each node's subtree."""
-    n = len(s)
-    parent, label = s[:, 0].astype(np.int32).tolist(), s[:, 1].tolist()
-    kids: list[list[int]] = [[] for _ in range(n)]
-    for i in range(1, n):
+def _kids(s: np.ndarray) -> list[list[int]]:
+    parent = s[:, 0].astype(np.int32).tolist()
+    kids: list[list[int]] = [[] for _ in parent]
+    for i in range(1, len(parent)):
         kids[parent[i]].append(i)
-    shape, size = [0] * n, [1] * n
-    for i in range(n - 1, -1, -1):
-        shape[i] = hash((label[i], *[shape[k] for k in kids[i]]))
-        size[i] = 1 + sum(size[k] for k in kids[i])
-    return kids, shape, size
+    return kids
 
 
-def align(page: np.ndarray, ref: np.ndarray) -> np.ndarray:
-    """For each node of a page's skeleton the matched node of the reference, or -1: simple tree matching."""
-    (ka, sa, za), (kb, sb, zb) = _children(page), _children(ref)
-    la, lb = page[:, 1].tolist(), ref[:, 1].tolist()
-    out = np.full(len(page), -1)
-    memo: dict[tuple[int, int], int] = {}
-
-    def trimmed(x: list[int], y: list[int]) -> tuple[int, int, int]:
-        lo, hi, m = 0, 0, min(len(x), len(y))
-        while lo < m and sa[x[lo]] == sb[y[lo]]:
-            lo += 1
-        while hi < m - lo and sa[x[-1 - hi]] == sb[y[-1 - hi]]:
-            hi += 1
-        return lo, hi, m
-
-    def table(x: list[int], y: list[int]) -> list[list[int]]:
-        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, a in enumerate(x, 1):
-            for j, b in enumerate(y, 1):
-                best = max(t[i - 1][j], t[i][j - 1])
-                if la[a] == lb[b]:
-                    best = max(best, t[i - 1][j - 1] + weight(a, b))
-                t[i][j] = best
-        return t
-
-    def weight(a: int, b: int) -> int:
-        if la[a] != lb[b]:
+def _children(s: np.ndarray) -> tuple[list[list[int]], list[int], list[int]]:
+    """Children, shape and size of each node's subtree."""
+    kids, shapes = _kids(s), _Shapes()
+    shape = shapes.of(s, kids)
+    return kids, shape, [shapes.size[x] for x in shape]
+
+
+class _Shapes:
+    """Subtrees by shape, numbered over both trees, and the weights of pairs of them."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.label: list[int] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.memo: dict[tuple[int, int], int] = {}
+
+    def of(self, s: np.ndarray, kids: list[list[int]]) -> list[int]:
+        """The shape of each node's subtree."""
+        label, shape = s[:, 1].tolist(), [0] * len(s)
+        for i in range(len(s) - 1, -1, -1):
+            below = tuple([shape[k] for k in kids[i]])
+            n = self.number.setdefault((label[i], below), len(self.label))
+            if n == len(self.label):
+                self.label.append(label[i])
+                self.kids.append(below)
+                self.size.append(1 + sum(self.size[k] for k in below))
+            shape[i] = n
+        return shape
+
+    def weight(self, a: int, b: int) -> int:
+        """Nodes in the largest matching of two subtrees that has their roots."""
+        if self.label[a] != self.label[b]:
             return 0
-        if sa[a] == sb[b]:
-            return za[a]
-        if (a, b) not in memo:
-            x, y = ka[a], kb[b]
-            lo, hi, _ = trimmed(x, y)
-            w = 1 + sum(za[k] for k in x[:lo]) + (sum(za[k] for k in x[-hi:]) if hi else 0)
+        if a == b:
+            return self.size[a]
+        x, y = self.kids[a], self.kids[b]
+        if not x or not y:
+            return 1
+        if (w := self.memo.get((a, b))) is None:
+            lo, hi = _ends(x, y)
+            w = 1
+            for k in x[:lo] + x[len(x) - hi :]:
+                w += self.size[k]
             x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
             if x and y:
-                w += table(x, y)[-1][-1] if len(x) * len(y) <= 10_000 else 0
-            memo[a, b] = w
-        return memo[a, b]
+                for row in self.rows(x, y):
+                    pass
+                w += int(row[-1])
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[a, b] = w
+        return w
+
+    def rows(self, x: tuple[int, ...], y: tuple[int, ...], row: list[int] | np.ndarray | None = None) -> Iterator[list[int] | np.ndarray]:
+        """For each of x the next row of the table of best matchings: its last place has that of all of y."""
+        if len(y) <= SHORT:
+            row = [0] * (len(y) + 1) if row is None else row
+            for a in x:
+                new, last, la = [0], 0, self.label[a]
+                for j, b in enumerate(y):
+                    if (above := row[j + 1]) > last:
+                        last = above
+                    if la == self.label[b] and (here := row[j] + self.weight(a, b)) > last:
+                        last = here
+                    new.append(last)
+                row = new
+                yield row
+            return
+        kinds, place = np.unique(np.array(y), return_inverse=True)
+        alike: dict[int, list[tuple[int, int]]] = {}
+        for k, b in enumerate(kinds.tolist()):
+            alike.setdefault(self.label[b], []).append((k, b))
+        row = np.zeros(len(y) + 1, np.int64) if row is None else row
+        before, w = -1, row
+        for a in x:
+            if a != before:
+                w = np.zeros(len(kinds), np.int64)
+                for k, b in alike.get(self.label[a], ()):
+                    w[k] = self.weight(a, b)
+                before, w = a, w[place]
+            # The best to the left in the same row is the largest so far.
+            row = np.append(0, np.maximum.accumulate(np.maximum(row[1:], np.where(w > 0, row[:-1] + w, 0))))
+            yield row
+
+    def matched(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the matched children. Of the table every so manieth row is kept and those between are made again."""
+        step = max(1, int(len(x) ** 0.5)) if len(x) * len(y) > WHOLE else len(x)
+        starts: list[list[int] | np.ndarray] = [[0] * (len(y) + 1) if len(y) <= SHORT else np.zeros(len(y) + 1, np.int64)]
+        if step < len(x):
+            starts += [row for i, row in enumerate(self.rows(x, y), 1) if i % step == 0]
+        out, i, j = [], len(x), len(y)
+        while i and j:
+            first = (i - 1) // step * step
+            t = [starts[first // step], *self.rows(x[first:i], y, starts[first // step])]
+            while i > first and j:
+                if t[i - first][j] == t[i - first - 1][j]:
+                    i -= 1
+                elif t[i - first][j] == t[i - first][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+        return out
 
+
+def _ends(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[int, int]:
+    """Numbers of equal first and equal last subtrees."""
+    lo, hi, m = 0, 0, min(len(x), len(y))
+    while lo < m and x[lo] == y[lo]:
+        lo += 1
+    while hi < m - lo and x[-1 - hi] == y[-1 - hi]:
+        hi += 1
+    return lo, hi
+
+
+def align(page: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """For each node of a page's skeleton the matched node of the reference, or -1: simple tree matching, exact at every size."""
+    if sys.getrecursionlimit() < DEPTH:
+        sys.setrecursionlimit(DEPTH)  # weights go as deep as the pages
+    ka, kb = _kids(page), _kids(ref)
+    shapes = _Shapes()
+    sa, sb = shapes.of(page, ka), shapes.of(ref, kb)
+    out = np.full(len(page), -1)
     todo = [(0, 0)]
     while todo:
         a, b = todo.pop()
         out[a] = b
         x, y = ka[a], kb[b]
-        lo, hi, _ = trimmed(x, y)
+        p, q = shapes.kids[sa[a]], shapes.kids[sb[b]]
+        lo, hi = _ends(p, q)
         todo += zip(x[:lo], y[:lo])
         if hi:
             todo += zip(x[-hi:], y[-hi:])
-        x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
-        if x and y and len(x) * len(y) <= 10_000:
-            t, i, j = table(x, y), len(x), len(y)
-            while i and j:
-                if t[i][j] == t[i - 1][j]:
-                    i -= 1
-                elif t[i][j] == t[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    todo.append((x[i], y[j]))
+        p, q = p[lo : len(p) - hi], q[lo : len(q) - hi]
+        if len(p) == len(q) == 1:
+            if shapes.label[p[0]] == shapes.label[q[0]]:
+                todo.append((x[lo], y[lo]))
+        elif p and q:
+            todo += [(x[lo + i], y[lo + j]) for i, j in shapes.matched(p, q)]
     return out
 
 

@@ -243,6 +243,30 @@ def test_alignment_has_the_most_nodes():
         assert all(a[i, 1] == b[j, 1] for i, j in enumerate(at) if j >= 0)
 
 
+def test_alignment_of_long_and_deep_pages(monkeypatch):
+    tree = lambda page: html_extract._skeleton(html_extract.Tree(page).skeleton())
+    # 150 rows of ids of their own around a template block, more than 10,000 pairs of children.
+    long = lambda k: "".join(f"<p id=a{k}_{i}>x</p>" for i in range(150)) + "<div class=share>Share</div>" + "".join(f"<p id=b{k}_{i}>x</p>" for i in range(150))
+    at = html_extract.align(tree(long(1)), tree(long(2)))
+    assert at[151] == 151 and (at >= 0).sum() == 2
+    # Behind node 20,000.
+    at = html_extract.align(tree("<p>x</p>" * 21_000 + "<div>end</div>"), tree("<div>end</div>"))
+    assert at[21_001] == 1
+    # Deep, and different at the bottom and beside it.
+    at = html_extract.align(tree("<i></i>" + "<div>" * 2_000 + "<p>a</p><ul></ul>"), tree("<b></b>" + "<div>" * 2_000 + "<ol></ol><p>a</p>"))
+    assert (at >= 0).sum() == 2_002
+    rng = random.Random(8)
+    for whole, short in ((1 << 20, 24), (20, 24), (20, 2), (1 << 20, 2)):
+        monkeypatch.setattr(html_extract, "WHOLE", whole)
+        monkeypatch.setattr(html_extract, "SHORT", short)
+        monkeypatch.setattr(html_extract, "MEMO", 3 if short == 2 else 1 << 19)
+        for _ in range(20):
+            make = lambda: "".join(f"<{t}>{'<b>x</b>' * rng.randrange(3)}{'<u><s></s></u>' * rng.randrange(2)}</{t}>" for t in rng.choices(["div", "span", "ul"], k=rng.randrange(1, 12)))
+            a, b = tree(make()), tree(make())
+            at = html_extract.align(a, b)
+            assert (at >= 0).sum() == brute_match(a, b)
+
+
 def test_wrapper_induction(spark):
     rng = random.Random(9)
     text = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(30))
