@@ -2,14 +2,19 @@
 
 1. Each page is parsed leniently into a tree; its skeleton keeps labels, parents
    and hashes of own texts.
-2. The page of a host with the smallest page_id is the host's reference.  Every
-   page's tree is aligned with it by simple tree matching: the order-preserving
+2. Of a host's pages with text, one of the shape that the most different
+   contents have is the host's reference (of as frequent ones, the shape whose
+   size is nearest to the host's median).  Every page's tree is aligned with it by simple tree matching: the order-preserving
    matching of children with the most nodes.  Equal first and last subtrees are
    matched at once, which loses nothing; the rest takes dynamic programming,
    whatever its size.
-3. Over all pages of a host, a text that most pages have at the same node of the
-   reference is template; the other texts fill slots.  Pages count once for
-   each different content, so copies of an article do not make it a template.
+3. Over all pages of a host, a text that most pages have at the same place is
+   template; the other texts fill slots.  A place is a node of the reference or,
+   for a node that has none there (an optional block, a second layout), the
+   lowest aligned node above it and the labels from there down.  Pages count once
+   for each different content (all texts outside of chrome), so copies of an
+   article do not make it a template.  A place that fewer than ``LEAST_PAGES``
+   different contents have tells nothing, so smaller hosts have no template.
 4. Slots in menus, headers, footers, sidebars, notices, adverts, forms and
    reader comments are dropped by their tags and class words.  Of the others,
    those in articles or, without any, in the container that holds most of the
@@ -30,6 +35,7 @@ import html as entities
 import re
 import sys
 from collections.abc import Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -42,7 +48,7 @@ from .store import small_batches, written
 BROADCAST = 64 << 20
 #: Of the alignment, none of which changes its result: children up to which rows are lists, places of a table that is kept whole, weights kept, frames.
 SHORT, WHOLE, MEMO, DEPTH = 24, 1 << 20, 1 << 19, 1_000_000
-#: A text is template if this share of at least so many different pages has it at a node.
+#: A text is template if this share of at least so many different pages has it at a place.
 SHARE, LEAST_PAGES = 0.6, 5
 
 # Element names of HTML.
@@ -309,6 +315,17 @@ def align(page: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return out
 
 
+def places(page: np.ndarray, ref: np.ndarray) -> list[int]:
+    """For each node of a page its place: the reference's node, or below 0 a hash of the lowest aligned node above and the labels since."""
+    out = align(page, ref).tolist()
+    parent, label = page[:, 0].astype(np.int32).tolist(), page[:, 1].tolist()
+    for i, at in enumerate(out):
+        if at < 0:
+            up = out[parent[i]]
+            out[i] = -1 - (int.from_bytes(blake2b(b"%d %d" % (up, label[i]), digest_size=8).digest()) >> 2)
+    return out
+
+
 def _skeleton(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.uint32).reshape(-1, 3)
 
@@ -347,8 +364,8 @@ def extract(page: str | None, ref: bytes | None = None, template: set[tuple[int,
     drop: set[int] = set()
     if ref is not None and template:
         s = _skeleton(tree.skeleton())
-        at = align(s, _skeleton(ref))
-        drop = {i for i, (r, h) in enumerate(zip(at.tolist(), s[:, 2].tolist(), strict=True)) if h and (r, h) in template}
+        at = places(s, _skeleton(ref))
+        drop = {i for i, (r, h) in enumerate(zip(at, s[:, 2].tolist(), strict=True)) if h and (r, h) in template}
     roots = content_root(tree, kept)
     inside = [False] * n
     for i in range(n):
@@ -367,30 +384,38 @@ def extract(page: str | None, ref: bytes | None = None, template: set[tuple[int,
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, page_id, skeleton and a hash of the page's content."""
+    """host, page_id, skeleton, hashes of the page's content and shape, and nodes of each page with text."""
     for b in batches:
         out = []
-        for t in b.column(2):
-            page = t.as_py() or ""
-            tree = Tree(page)
-            long = "\n".join(sorted(x for x in tree.own_texts().values() if len(x) > 80))
-            out.append((tree.skeleton(), crc32(long.encode())))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["host", "page_id", "skeleton", "content"])
+        for h, i, t in zip(*(b.column(k) for k in range(3)), strict=True):
+            tree = Tree(t.as_py() or "")
+            texts = tree.own_texts()
+            if texts:
+                content = "\n".join(sorted(x for n, x in texts.items() if not tree.chrome[n]))
+                s = tree.skeleton()
+                out.append((h, i, s, _hash(content.encode()), _hash(_skeleton(s)[:, :2].tobytes()), len(tree.label)))
+        kinds = (b.schema.field(0).type, b.schema.field(1).type, pa.binary(), pa.int64(), pa.int64(), pa.int32())
+        names = ["host", "page_id", "skeleton", "content", "shape", "nodes"]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k].as_py() if k < 2 else x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+
+
+def _hash(b: bytes) -> int:
+    return int.from_bytes(blake2b(b, digest_size=8).digest(), signed=True)
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, content, node of the reference and text hash of each aligned text."""
+    """host, content, place and text hash of each text."""
     for b in batches:
         host, content, node, text = [], [], [], []
         for h, c, s, r in zip(*(x.to_pylist() for x in b.columns), strict=True):
             s = _skeleton(s)
-            at = align(s, _skeleton(r))
-            hit = np.flatnonzero((at >= 0) & (s[:, 2] > 0))
+            at = places(s, _skeleton(r))
+            hit = np.flatnonzero(s[:, 2] > 0)
             host += [h] * len(hit)
             content += [c] * len(hit)
-            node += at[hit].tolist()
+            node += [at[i] for i in hit.tolist()]
             text += s[hit, 2].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(content, pa.int64()), pa.array(node, pa.int32()), pa.array(text, pa.int64())], ["host", "content", "node", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(content, pa.int64()), pa.array(node, pa.int64()), pa.array(text, pa.int64())], ["host", "content", "node", "text"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,12 +436,18 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]+)", 1))
     source = pages.select("page_id", "url", F.when(host != "", host).alias("host"), "html")
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = source.where(F.col("host").isNotNull()).select("host", "page_id", "html").mapInArrow(_parse, f"host string, page_id {kind}, skeleton binary, content long")
+    parsed = source.where(F.col("host").isNotNull()).select("host", "page_id", "html").mapInArrow(_parse, f"host string, page_id {kind}, skeleton binary, content long, shape long, nodes int")
     parsed = written(parsed, "skeletons")
-    many = parsed.groupBy("host").agg(F.min_by("skeleton", F.struct("page_id", "content")).alias("ref"), F.count("*").alias("n"))
-    refs = written(many.where(F.col("n") >= LEAST_PAGES).select("host", "ref"), "references")
-    slots = parsed.join(_sized(refs, "ref"), "host").select("host", "content", "skeleton", "ref").mapInArrow(_slots, "host string, content long, node int, text long")
-    # Exact counts of different contents, in two steps: for each text at a node, and for each node.
+    shapes = parsed.groupBy("host", "shape", "content").agg(F.count("*").alias("rows"), F.min("nodes").alias("nodes"))
+    shapes = shapes.groupBy("host", "shape").agg(F.count("*").alias("contents"), F.sum("rows").alias("rows"), F.min("nodes").alias("nodes"))
+    # The size of the middle row of each host, from its counts of sizes.
+    sizes = shapes.groupBy("host", "nodes").agg(F.sum("rows").alias("rows"))
+    middle = sizes.groupBy("host").agg(F.percentile("nodes", 0.5, F.col("rows")).alias("middle"), F.sum("rows").alias("n"))
+    best = shapes.join(middle.where(F.col("n") >= LEAST_PAGES), "host").groupBy("host").agg(F.min_by("shape", F.struct(-F.col("contents"), F.abs(F.col("nodes") - F.col("middle")), "shape")).alias("shape"))
+    refs = parsed.join(best, ["host", "shape"]).groupBy("host").agg(F.min_by("skeleton", F.struct("page_id", "content")).alias("ref"))
+    refs = written(refs, "references")
+    slots = parsed.join(_sized(refs, "ref"), "host").select("host", "content", "skeleton", "ref").mapInArrow(_slots, "host string, content long, node long, text long")
+    # Exact counts of different contents, in two steps: for each text at a place, and for each place.
     slots = written(slots.distinct(), "slots")
     at_node = slots.select("host", "node", "content").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
     same = slots.groupBy("host", "node", "text").agg(F.count("*").alias("same"))

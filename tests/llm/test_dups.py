@@ -279,6 +279,18 @@ def test_wrapper_induction(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_whatever_the_first_page(spark):
+    """Empty, null and cut-off first pages, blocks that some pages have, a second layout, and contents of short texts."""
+    box = lambda t: f"<div class=x><div>{t}</div></div>"
+    one = lambda i: f"<body><article><p>text {i}</p>{box('Sent from our desk') if i % 2 else ''}<div>Ask us anything</div></article>"
+    two = lambda i: f"<body><section id=b><div><article><h2>Daily letter</h2><p>other {i}</p></article></div></section>"
+    pages = [None, "", "<bo", "<body><article>"] + [one(i) for i in range(30)] + [two(i) for i in range(12)]
+    for first in (0, None):
+        data = [(i if i else first, "https://h.example/p", p) for i, p in enumerate(pages)]
+        out = html_extract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+        assert sorted(r.text for r in out) == sorted(["", "", "", ""] + [f"text {i}" for i in range(30)] + [f"other {i}" for i in range(12)])
+
+
 def test_copies_of_an_article_are_no_template(spark):
     data = [(i, "https://h.example/p", f"<body><article><p>{'same words in all of these pages ' * 6}</p></article><footer>{i}</footer>") for i in range(9)]
     out = html_extract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
