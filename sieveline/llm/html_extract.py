@@ -16,9 +16,10 @@
    article do not make it a template.  A place that fewer than ``LEAST_PAGES``
    different contents have tells nothing, so smaller hosts have no template.
 4. Slots in menus, headers, footers, sidebars, notices, adverts, forms and
-   reader comments are dropped by their tags and class words.  Of the others,
-   those in articles or, without any, in the container that holds most of the
-   text are the content.
+   reader comments are dropped by their tags and class words.  All others are
+   the content; on a page with a main part, those in it and in articles.  On a
+   page without either, single-word blocks beside the container that holds
+   most of the text are labels and go.
 
 Host references and templates are broadcast only while their size is below
 ``BROADCAST`` bytes, else pages are joined to them by host.
@@ -330,19 +331,27 @@ def _skeleton(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.uint32).reshape(-1, 3)
 
 
-def content_root(tree: Tree, kept: list[bool]) -> set[int]:
-    """Nodes below which the content lies: articles, else main parts, else the smallest container with most of the text."""
+def content_root(tree: Tree, kept: list[bool]) -> tuple[set[int], set[int]]:
+    """Nodes below which the content lies, the main parts and articles or without a main part the whole page, and the labels in it.
+
+    Labels are blocks of a single word beside the container that holds most of
+    a page without article: no heading, paragraph, list or cell. All other text stays.
+    """
     n = len(tree.label)
-    size = [0] * n
+    size, words = [0] * n, [0] * n
     for node, t in tree.items:
         if t is not None and kept[node]:
             size[node] += len(t.strip())
+            words[node] += len(t.split())
     for i in range(n - 1, 0, -1):
         size[tree.parent[i]] += size[i]
-    for wanted in ("article", "main"):
-        found = [i for i in range(n) if kept[i] and (tree.tags[i] == wanted or wanted == "main" and re.search(r"\bmain\b", tree.label[i])) and size[i]]
-        if found:
-            return set(found)
+        words[tree.parent[i]] += words[i]
+    found = {w: {i for i in range(n) if kept[i] and tree.tags[i] == w and size[i]} for w in ("article", "main")}
+    if found["main"]:
+        return found["main"] | found["article"], set()
+    if found["article"]:
+        return {0}, set()
+    labels: set[int] = set()
     at = 0
     kids: dict[int, list[int]] = {}
     for i in range(1, n):
@@ -350,7 +359,10 @@ def content_root(tree: Tree, kept: list[bool]) -> set[int]:
     while True:
         best = max(kids.get(at, []), key=lambda k: size[k], default=None)
         if best is None or size[best] < 0.7 * size[at] or tree.tags[best] in INLINE or tree.tags[best] in ("p", "h1", "h2", "li", "td"):
-            return {at}
+            return {0}, labels
+        for k in kids[at]:
+            if k != best and words[k] == 1 and tree.tags[k] in ("div", "section") and not any(tree.tags[j] not in ("div", "section") and tree.tags[j] not in INLINE for j in kids.get(k, ())):
+                labels.add(k)
         at = best
 
 
@@ -366,10 +378,10 @@ def extract(page: str | None, ref: bytes | None = None, template: set[tuple[int,
         s = _skeleton(tree.skeleton())
         at = places(s, _skeleton(ref))
         drop = {i for i, (r, h) in enumerate(zip(at, s[:, 2].tolist(), strict=True)) if h and (r, h) in template}
-    roots = content_root(tree, kept)
+    roots, labels = content_root(tree, kept)
     inside = [False] * n
     for i in range(n):
-        inside[i] = kept[i] and (i in roots or (i > 0 and inside[tree.parent[i]]))
+        inside[i] = kept[i] and i not in labels and (i in roots or (i > 0 and inside[tree.parent[i]]))
     blocks: list[str] = []
     parts: list[str] = []
     for node, t in tree.items:

@@ -217,6 +217,15 @@ def test_extraction():
     assert html_extract.extract("<p>a</p>" * 5000).count("a") == 5000 and html_extract.extract("<div>" * 3000 + "deep") == "deep"
 
 
+def test_nothing_beside_the_content_is_lost():
+    body, lead = "body words " * 30, "lead words " * 8
+    for page in (
+        f"<div><h1>Title</h1><div>{lead}</div><div>{body}</div></div>", f"<main><h1>Title</h1><p>{lead}</p><article>{body}</article></main>", f"<h1>Title</h1><div>{lead}</div><article>{body}</article>",
+        f"<div><h1 class=main-title>Title</h1><div>{lead}</div><div><div>{body}</div></div></div>", f"<nav>n</nav><div><div><h1>Title</h1></div><div><p>{lead}</p></div><div>{body}</div></div>",
+    ):
+        assert html_extract.extract(page) == " ".join(f"Title {lead} {body}".split())
+
+
 def brute_match(a, b):
     """Simple tree matching by its plain recursion."""
     (ka, _, _), (kb, _, _) = html_extract._children(a), html_extract._children(b)
