@@ -365,10 +365,10 @@ BIO_SQL = (
 )
 
 
-def bio(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = fixtures(spark)
+def bio(spark: SparkSession, sf_dir: str, files: DataFrame | None = None, longest: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = fixtures(spark) if files is None else files
     spans = D.candidates(files).where("passes").select(*KEYS, "start", "end", F.col("entity").alias("label")).distinct()
-    return files, spans, W.align(W.tokens(files, KEYS), spans, KEYS)
+    return files, spans, W.align(W.tokens(files, KEYS), spans, KEYS, longest)
 
 
 @query(f"WITH {BIO_SQL} SELECT repo, path, idx, tok_start::BIGINT AS tok_start, tok_end::BIGINT AS tok_end, label_id::BIGINT AS label_id, round(weight, 6) AS weight FROM bio")
@@ -497,3 +497,72 @@ def score_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = D.candidates(both(spark, sf_dir)).select("repo", "path", "start", "end").distinct().join(both(spark, sf_dir), ["repo", "path"])
     chunk, off = W.score_window(F.col("text"), F.col("start"), F.col("end"))
     return longs(c.select("repo", "path", "start", "end", (F.col("start") - off).alias("low"), (F.col("start") - off + F.length(chunk)).alias("high")))
+
+
+# The queries over fixture files, over all documents too. Their SQL is the fixtures' with the other source.
+for _name in ("email_gated", "password_assignment", "username_assignment", "at_handle", "mask_all", "context_lines"):
+    ORACLE[f"{_name}_docs"] = ORACLE[_name].replace(O.FIXTURES, O.ALL)
+
+for _name, _detectors, _gated in (("email_gated", ("email",), True), ("password_assignment", ("password-assignment",), False), ("username_assignment", ("username-assignment",), False), ("at_handle", ("at-handle",), False)):
+    def _over_all(spark: SparkSession, sf_dir: str, detectors: tuple[str, ...] = _detectors, gated: bool = _gated) -> DataFrame:
+        c = D.candidates(both(spark, sf_dir), detectors)
+        return shown(c.where("passes") if gated else c)
+
+    QUERIES[f"{_name}_docs"] = _over_all
+
+
+def mask_all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = P.mask("entity", "value")
+    return D.candidates(both(spark, sf_dir)).select("entity", "detector", m.alias("masked"), (m.contains(F.col("value")) & (F.length("value") > 3)).alias("leaks"))
+
+
+def context_lines_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(gold.collect(both(spark, sf_dir), with_context=True).select("repo", "path", "start", "detector", F.md5("context").alias("context_md5")))
+
+
+QUERIES |= {"mask_all_docs": mask_all_docs, "context_lines_docs": context_lines_docs}
+
+
+def bio_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """BIO labels of all scan windows, each a text of its own; a window has no more tokens than characters, so none is cut off."""
+    win = W.scan_windows(both(spark, sf_dir), KEYS)
+    return bio(spark, sf_dir, win.select("repo", F.concat_ws("#", "path", F.col("window").cast("string")).alias("path"), F.col("chunk").alias("text")), W.SIZE)
+
+
+@query()
+def bio_align_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(bio_docs(spark, sf_dir)[2].withColumn("weight", F.round("weight", 6)))
+
+
+@query()
+def bio_decode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _, labels = bio_docs(spark, sf_dir)
+    return longs(W.decode(labels, KEYS, files))
+
+
+@query()
+def bio_verify_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, spans, labels = bio_docs(spark, sf_dir)
+    return W.misaligned(labels, spans, KEYS).agg(F.count("*").alias("misaligned"))
+
+
+def exact_scores_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, spans, labels = bio_docs(spark, sf_dir)
+    return metrics.scores(metrics.exact_matches(W.decode(labels, KEYS, files), spans, KEYS))
+
+
+@query()
+def span_prf_exact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_scores_docs(spark, sf_dir)
+
+
+@query()
+def macro_f1_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.macro_f1(exact_scores_docs(spark, sf_dir))
+
+
+@query()
+def span_prf_overlap_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, spans, labels = bio_docs(spark, sf_dir)
+    moved = W.decode(labels, KEYS, files).withColumn("end", F.col("end") + 1)
+    return metrics.scores(metrics.overlap_matches(moved, spans, KEYS))
