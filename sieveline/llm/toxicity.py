@@ -34,7 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_gbt import held_out, labelled
@@ -261,15 +261,19 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, text: str = "text", most_words: int = 3_000_000) -> Field:
-    """A field from the sampled rows, as many of them, in the order of their hashes, as have ``most_words`` words together."""
+    """A field from the sampled rows, in the order of their hashes each that still fits into ``most_words`` words together."""
     known = labelled(labels, "toxic", 5, 0)
     half = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
     chosen = half[0].union(half[1])
     rows = docs.select("doc_id", text).join(chosen, F.col("doc_id") == F.col("id")).select(F.col("id").cast("long").alias("id"), "y", text)
     rows = written(rows.mapInArrow(_hashes, "id long, y int, h array<long>"), "toxic-sample")
-    so_far = F.sum(F.size("h")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), "id"))  # over the sample's sizes only
-    fitting = rows.select("id", so_far.alias("n")).where(F.col("n") <= 2 * most_words).select("id").distinct()
-    got = rows.join(F.broadcast(fitting), "id", "left_semi").toArrow().combine_chunks()
+    sizes = rows.groupBy("id").agg(F.sum(F.size("h")).alias("n")).orderBy(F.xxhash64("id"), "id").collect()  # of the sample only
+    left, fitting = 2 * most_words, []
+    for r in sizes:  # what does not fit goes, and nothing behind it
+        if r.n <= left:
+            left -= r.n
+            fitting.append((r.id,))
+    got = rows.join(F.broadcast(docs.sparkSession.createDataFrame(fitting, "id long")), "id", "left_semi").toArrow().combine_chunks()
     if not got.num_rows:
         return fit_field(np.zeros((0, 2), np.int64), np.zeros(1, np.int64), np.zeros(0))
     got = got.sort_by("id")

@@ -151,3 +151,11 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score_toxicity(none, table).count() == 0
     assert {r.score < 0.01 for r in toxicity.score_toxicity(odd, table.limit(0)).collect()} == {True}
     assert rows(toxicity.score_toxicity(odd, table).select("doc_id")) == rows(odd.select("doc_id"))
+
+
+def test_one_huge_text_leaves_the_rest_of_the_sample(spark, odd):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    known = toxicity.labelled(labels, "toxic", 5, 0).orderBy(toxicity.F.xxhash64("id")).first().id
+    texts = [doc(i, "word " * 9_000 if i == known else "plain words " * 5 + ("scum" if i % 2 else "")) for i in range(200)]
+    field = toxicity.train(spark.createDataFrame(texts, odd.schema), labels, most_words=5_000)
+    assert field.doc[0] != -30  # as without any row
