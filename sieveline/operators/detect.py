@@ -1,7 +1,7 @@
 """Candidates of sensitive data in texts: spans, gates, confidence, survival, deduplication.
 
 One pass over the text column: for each detector the pieces between matches
-and the matches themselves give offsets; the arrays of all detectors are joined
+and the matches themselves give places; the arrays of all detectors are joined
 and exploded once.  Offsets are code points from 0, ends exclusive; lines and
 columns count from 1.
 """
@@ -20,19 +20,56 @@ def java(pattern: str) -> str:
     return pattern.replace("{q}", "+")
 
 
-def spans(text: Column, pattern: str, sign: str | None = None) -> Column:
-    """array<struct<at, m>>: offset and text of each match. No pattern may match the empty string."""
-    m, g = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    # An array of one struct binds both lists, so that the pattern runs twice a text and not again for each match.
-    once = F.array(F.struct(m.alias("m"), g.alias("g")))
+#: Matches whose places are counted from one stored place.
+STEP = 16
+_PLACE = "struct<at:int,line:int,col:int>"
 
-    def place(s: Column, i: Column) -> Column:
-        lengths = F.zip_with(F.slice(s["g"], 1, i), F.slice(s["m"], 1, i), lambda x, y: F.length(x) + F.length(y))
-        return F.aggregate(lengths, F.length(s["g"][i]), lambda a, n: a + n)
 
-    found = F.flatten(F.transform(once, lambda s: F.transform(s["m"], lambda x, i: F.struct(place(s, i).alias("at"), x.alias("m")))))
-    none = F.array().cast("array<struct<at:int,m:string>>")
-    return F.when(text.rlike(sign), found).otherwise(none) if sign else F.coalesce(found, none)
+def _newlines(s: Column) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+
+
+def _behind(place: Column, piece: Column) -> Column:
+    """Offset, line and column (all from 0) behind a piece of text, of which length, newlines and length of the last line are known."""
+    col = F.when(piece["lines"] > 0, piece["tail"]).otherwise(place["col"] + piece["n"])
+    return F.struct((place["at"] + piece["n"]).alias("at"), (place["line"] + piece["lines"]).alias("line"), col.alias("col")).cast(_PLACE)
+
+
+def matches(text: Column, patterns: list[tuple[int, str, Column | None]]) -> Column:
+    """array<struct<rank, place, m, gap, last, next>>: of each match of each pattern its number, place, text, the text since
+    the match before, that match, and the text up to the next. patterns: number, pattern, and whether a text may have it (None: always).
+
+    No pattern may match the empty string. Only the pieces between matches and the matches are read, each a few times, so the work follows the length of
+    the text and not the square of its matches: the places of every ``STEP``th match are stored, the others are counted from there.
+    """
+    each = []
+    for rank, pattern, sign in patterns:
+        found = F.struct(F.lit(rank).alias("rank"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+        each.append(F.when(text.isNotNull() if sign is None else sign, found))
+    # Each step binds what the next one reads, so that nothing is made again for each match.
+    every = F.filter(F.array(*each), lambda s: s.isNotNull())
+    before = lambda s: F.zip_with(F.slice(s["g"], 1, F.size(s["m"])), F.concat(F.array(F.lit("")), F.slice(s["m"], 1, F.greatest(F.size(s["m"]) - 1, F.lit(0)))), lambda g, m: F.concat(m, g))
+    measure = lambda t: F.struct(F.length(t).alias("n"), _newlines(t).alias("lines"), F.length(F.substring_index(t, "\n", -1)).alias("tail"))
+    every = F.transform(every, lambda s: F.struct(s["rank"].alias("rank"), s["m"].alias("m"), s["g"].alias("g"), F.transform(before(s), measure).alias("p")))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(0).alias("col")).cast(_PLACE)
+
+    def stored(p: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.floor(F.size(p) / STEP).cast("int"))
+        return F.aggregate(steps, F.array(zero), lambda done, k: F.concat(done, F.array(F.aggregate(F.slice(p, k * STEP + 1, F.lit(STEP)), F.get(done, k), _behind))))
+
+    every = F.transform(every, lambda s: F.struct(*[s[c].alias(c) for c in ("rank", "m", "g", "p")], stored(s["p"]).alias("known")))
+
+    def match(s: Column, x: Column, i: Column) -> Column:
+        near = F.floor(i / STEP).cast("int")
+        place = F.aggregate(F.slice(s["p"], near * STEP + 1, i - near * STEP + 1), F.get(s["known"], near), _behind)
+        return F.struct(s["rank"].alias("rank"), place.alias("place"), x.alias("m"), F.get(s["g"], i).alias("gap"), F.get(s["m"], i - 1).alias("last"), F.get(s["g"], i + 1).alias("next"))
+
+    return F.flatten(F.transform(every, lambda s: F.transform(s["m"], lambda x, i: match(s, x, i))))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """The matches of one pattern."""
+    return matches(text, [(0, pattern, None)])
 
 
 def _value(kind: str, m: Column) -> tuple[Column, Column]:
@@ -52,56 +89,76 @@ def _value(kind: str, m: Column) -> tuple[Column, Column]:
     return F.length(m) - F.length(v), v
 
 
-_ITEM = "array<struct<detector:string,entity:string,rank:int,start:int,end:int,line:int,col:int,value:string,left:string,right:string,rest:string,other:string,base:double,in_test:double>>"
+def signed(text: Column, name: str) -> Column:
+    """Whether a text may hold a match of a detector: by literals, and by a pattern only where these are there."""
+    literals, pattern = V.SIGNS[name]
+    sign = text.contains(literals[0])
+    for x in literals[1:]:
+        sign = sign | text.contains(x)
+    return F.coalesce(sign & text.rlike(pattern) if pattern else sign, F.lit(False))
 
 
-def _item(text: Column, rank: int):
-    """Turns a match of a detector into what the gates need."""
-    name, entity, _, kind, base, in_test = V.DETECTORS[rank]
-
-    def item(x: Column) -> Column:
-        off, value = _value(kind, x["m"])
-        start = x["at"] + off
-        before = F.substring(text, F.lit(1), start)
-        other = _value("dsn-password", x["m"])[1] if kind == "dsn-user" else F.lit(None).cast("string")
-        left = F.substring_index(before, "\n", -1)
-        # The rest of the line, however long, for the one gate that reads it.
-        after = start + F.length(value) + 1
-        rest = F.substring_index(F.substring(text, after, F.length(text)), "\n", 1) if kind == "quad" else F.lit(None).cast("string")
-        return F.struct(
-            F.lit(name).alias("detector"), F.lit(entity).alias("entity"), F.lit(rank).alias("rank"), start.alias("start"), (start + F.length(value)).alias("end"),
-            (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), (F.length(left) + 1).alias("col"), value.alias("value"),
-            left.alias("left"), F.substring(text, after, F.lit(40)).alias("right"), rest.alias("rest"), other.alias("other"),
-            F.lit(base).cast("double").alias("base"), F.lit(in_test).cast("double").alias("in_test"),
-        )
-
-    return item
+#: Numbers of the detectors that need more than a match.
+_PASSWORD, _USER, _EMAIL, _IP, _HANDLE = (next(i for i, d in enumerate(V.DETECTORS) if d[3] == k or d[0] == k) for k in ("dsn-password", "dsn-user", "email", "ipv4", "at-handle"))
 
 
 def candidates(files: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
     """One row for each raw match of each detector (or of some). files: repo, path, text."""
     text = F.col("text")
-    dsn = spans(text, java(V.DETECTORS[13][2]), "://")
-    arrays = []
-    for rank, (name, _, pattern, kind, _, _) in enumerate(V.DETECTORS):
-        if only and name not in only:
-            continue
-        found = spans(text, java(pattern), V.SIGNS[name])
-        if kind == "quad":  # whole runs of digits and dots, so that no neighbour is one
-            found = F.filter(found, lambda x: x["m"].rlike("^(?:\\d{1,3}\\.){3}\\d{1,3}\\z"))
-            found = F.filter(found, lambda x: ~F.exists(P.octets(x["m"]), lambda o: o > 255))
-        if name == "email":  # never a part of a connection string
-            found = F.filter(found, lambda x: ~F.exists(F.col("dsn"), lambda d: (x["at"] < d["at"] + F.length(d["m"])) & (x["at"] + F.length(x["m"]) > d["at"])))
-
-        arrays.append(F.transform(found, _item(text, rank)).cast(_ITEM))
-    found = files.withColumn("dsn", dsn).select("repo", "path", F.explode(F.concat(*arrays)).alias("f"))
-    return gated(found.select("repo", "path", "f.*"))
+    ranks = [i for i, d in enumerate(V.DETECTORS) if not only or d[0] in only]
+    # Connection strings have two detectors, and no email address is a part of one.
+    run = sorted({_PASSWORD if i in (_USER, _EMAIL) else i for i in ranks} | set(ranks) - {_USER})
+    found = matches(text, [(i, java(V.DETECTORS[i][2]), signed(text, V.DETECTORS[i][0])) for i in run])
+    # A line with a version makes every address on it one.
+    versions = F.when(signed(text, "ipv4"), F.transform(F.split(text, "\n", -1), lambda x: x.rlike(V.VERSION_LINE))) if _IP in ranks else F.lit(None).cast("array<boolean>")
+    bound = F.transform(F.array(F.struct(found.alias("f"), versions.alias("v"))), lambda b: F.struct(b["f"].alias("f"), b["v"].alias("v"), F.filter(b["f"], lambda x: x["rank"] == _PASSWORD).alias("dsn")))
+
+    def stays(b: Column, x: Column) -> Column:
+        begin, end = x["place"]["at"], x["place"]["at"] + F.length(x["m"])
+        clear = ~F.exists(b["dsn"], lambda d: (begin < d["place"]["at"] + F.length(d["m"])) & (end > d["place"]["at"]))
+        # Whole runs of digits and dots, so that no neighbour is one.
+        quad = x["m"].rlike("^(?:\\d{1,3}\\.){3}\\d{1,3}\\z") & ~F.exists(P.octets(x["m"]), lambda o: o > 255)
+        return F.when(x["rank"] == _EMAIL, clear).when(x["rank"] == _IP, quad).otherwise(F.lit(True))
+
+    def rows(b: Column, x: Column) -> Column:
+        twice = F.when(x["rank"] == _PASSWORD, F.array(F.lit(_PASSWORD), F.lit(_USER))).otherwise(F.array(x["rank"]))
+        versioned = F.when(x["rank"] == _IP, F.get(b["v"], x["place"]["line"])).otherwise(F.lit(False))
+        return F.transform(twice, lambda r: F.struct(r.alias("rank"), x["place"].alias("place"), *[x[c].alias(c) for c in ("m", "gap", "last", "next")], versioned.alias("versioned")))
+
+    picked = F.flatten(F.flatten(F.transform(bound, lambda b: F.transform(F.filter(b["f"], lambda x: stays(b, x)), lambda x: rows(b, x)))))
+    c = files.select("repo", "path", F.explode(picked).alias("f")).select("repo", "path", "f.*").where(F.col("rank").isin(*ranks))
+    return gated(_valued(c))
+
+
+def _valued(c: DataFrame) -> DataFrame:
+    """Matches with their value, its place, and what the gates read of its surroundings."""
+    kinds: dict[str, list[int]] = {}
+    for i, d in enumerate(V.DETECTORS):
+        kinds.setdefault(d[3], []).append(i)
+    m, rank = F.col("m"), F.col("rank")
+    off, value = F.lit(0), m
+    for kind, of in kinds.items():
+        if kind not in ("whole", "quad"):
+            at, v = _value(kind, m)
+            off, value = F.when(rank.isin(*of), at).otherwise(off), F.when(rank.isin(*of), v).otherwise(value)
+    field = lambda k, t: F.get(F.array(*[F.lit(d[k]).cast(t) for d in V.DETECTORS]), rank)
+    handle = rank == _HANDLE
+    c = c.withColumn("off", off).withColumn("value", value).withColumn("lead", F.substring("m", F.lit(1), F.col("off")))
+    c = c.withColumn("lines", _newlines(F.col("lead")))
+    col = F.when(F.col("lines") > 0, F.length(F.substring_index("lead", "\n", -1))).otherwise(F.col("place.col") + F.col("off"))
+    start = F.col("place.at") + F.col("off")
+    # A keyword before a handle stands in the gap or is itself the handle before: both end at a word's end.
+    left = F.substring_index(F.concat(F.coalesce("last", F.lit("")), "gap", "lead"), "\n", -1)
+    return c.select(
+        "repo", "path", field(0, "string").alias("detector"), field(1, "string").alias("entity"), rank.cast("int").alias("rank"), start.cast("int").alias("start"), (start + F.length("value")).cast("int").alias("end"),
+        (F.col("place.line") + F.col("lines") + 1).cast("int").alias("line"), (col + 1).cast("int").alias("col"), "value", F.when(handle, left).alias("left"), F.when(handle, F.substring("next", 1, 40)).alias("right"),
+        "versioned", F.when(rank == _USER, _value("dsn-password", m)[1]).alias("other"), field(4, "double").alias("base"), field(5, "double").alias("in_test"),
+    )
 
 
 def gated(c: DataFrame) -> DataFrame:
     """Adds in_test_path, suppressed_by (first gate that drops the candidate, else null), passes and confidence."""
     v, d, test = F.col("value"), F.col("detector"), P.in_test_path("path")
-    line = F.concat("left", v, "rest")
     assigned = d.isin("key-assignment", "password-assignment", "username-assignment")
     domain = F.lower(F.substring_index(v, "@", -1))
     gates = [
@@ -115,7 +172,7 @@ def gated(c: DataFrame) -> DataFrame:
         ("url", (d == "password-assignment") & P.is_url(v)),
         ("noreply", (d == "email") & P.is_noreply(v)),
         ("reserved-range", (d == "ipv4") & P.is_reserved_ip(v)),
-        ("version-line", (d == "ipv4") & line.rlike(V.VERSION_LINE)),
+        ("version-line", (d == "ipv4") & F.col("versioned")),
         ("handle-word", (d == "at-handle") & F.lower(v).isin(*V.HANDLE_WORDS)),
         ("sql-variable", (d == "at-handle") & (F.regexp_replace("left", "@\\z", "").rlike(V.SQL_VAR_LEFT.replace("$", "\\z")) | F.col("right").rlike(V.SQL_VAR_RIGHT))),
         ("organization", (F.col("entity") == "NAME") & P.is_organization(v)),
@@ -129,7 +186,7 @@ def gated(c: DataFrame) -> DataFrame:
         .withColumn("suppressed_by", why)
         .withColumn("passes", F.col("suppressed_by").isNull())
         .withColumn("confidence", F.when(test & F.col("passes"), F.col("in_test")).otherwise(F.col("base")))
-        .drop("left", "right", "rest", "other", "in_test")
+        .drop("left", "right", "versioned", "other", "in_test")
     )
 
 

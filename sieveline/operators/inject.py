@@ -18,10 +18,15 @@ SPAN = "array<struct<start:int,end:int,label:string,text:string>>"
 EXAMPLE = f"repo string, path string, text string, spans {SPAN}, distractors {SPAN}"
 
 
-def inject(repo: str, path: str, text: str, seed: object, split: str, most: int = 4, negative_rate: float = 0.4) -> dict | None:
-    """One file with up to ``most`` sites replaced; None if nothing fits."""
+def places(text: str) -> list[tuple[int, int, str]]:
+    """Start, end and kind of the sites that values can be put into."""
+    return [(s["start"], s["end"], s["kind"]) for s in find_sites(text) if s["kind"] in INJECTABLE]
+
+
+def inject(repo: str, path: str, text: str, seed: object, split: str, most: int = 4, negative_rate: float = 0.4, sites: list[tuple[int, int, str]] | None = None) -> dict | None:
+    """One file with up to ``most`` sites replaced; None if nothing fits. sites: those of the text, if known."""
     d = Draws(seed, repo, path)
-    free = d.shuffled([(s["start"], s["end"], s["kind"]) for s in find_sites(text) if s["kind"] in INJECTABLE])
+    free = d.shuffled(places(text) if sites is None else sites)
     chosen: list[tuple[int, int, str, Value]] = []
     for lo, hi, kind in free:
         if len(chosen) == most:
@@ -45,22 +50,40 @@ def inject(repo: str, path: str, text: str, seed: object, split: str, most: int
     return {"repo": repo, "path": path, "text": "".join([*pieces, text[at:]]), "spans": [m for p, m in marks if p], "distractors": [m for p, m in marks if not p]}
 
 
+def faults(ex: dict) -> list[str]:
+    """What is wrong with an example: marks out of range, without their value, or over the next one."""
+    marks = sorted([*ex["spans"], *ex["distractors"]], key=lambda m: (m["start"], m["end"]))
+    out = []
+    for m, after in zip(marks, [*marks[1:], None]):
+        if not 0 <= m["start"] < m["end"] <= len(ex["text"]):
+            out.append("range")
+        elif ex["text"][m["start"] : m["end"]] != m["text"]:
+            out.append("value")
+        if after and after["start"] < m["end"]:
+            out.append("overlap")
+    return out
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.string(), pa.string(), _SPAN, _SPAN)
     names = ("repo", "path", "text", "spans", "distractors")
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], list(names))
 
 
-def inject_files(files: DataFrame, split: str, seed: int = 20260925, passes: int = 1, windows: bool = False) -> DataFrame:
-    """Examples from files, or their training windows. Each pass over the files draws anew."""
+def inject_files(files: DataFrame, split: str, seed: int = 20260925, first: int = 0, passes: int = 1) -> DataFrame:
+    """Examples from files, only those that hold what was put into them. Each pass over the files, counted from ``first``, draws anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for repo, path, text in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
-                for n in range(passes):
-                    if ex := inject(repo, path, text or "", f"{seed}:{n}", split):
-                        out += training_windows(**ex) if windows else [ex]
+                sites = places(text or "")
+                for n in range(first, first + passes if sites else first):
+                    if (ex := inject(repo, path, text or "", f"{seed}:{n}", split, sites=sites)) and not faults(ex):
+                        out.append(ex)
+                    if len(out) == 200:
+                        yield _batch(out)
+                        out = []
             yield _batch(out)
 
     return files.select("repo", "path", "text").mapInArrow(run, EXAMPLE)
@@ -91,17 +114,28 @@ def split_files(files: DataFrame, seed: int = 20260925, val_fraction: float = 0.
     return f.select("repo", "path", F.when(rank <= F.floor(F.col("total") * F.lit(1 - val_fraction)), "train").otherwise("val").alias("split"))
 
 
-def build(files: DataFrame, target: int = 30_000, seed: int = 20260925, val_fraction: float = 0.1, passes: int = 8) -> DataFrame:
-    """split and windows of a dataset: up to ``target`` training windows and a share of that for validation.
+def build(files: DataFrame, target: int = 30_000, seed: int = 20260925, val_fraction: float = 0.1) -> DataFrame:
+    """split and windows of a dataset: ``target`` training windows and a share of that for validation.
 
-    Validation draws from the held-out vocabulary. Files are gone over at most
-    ``passes`` times, so a corpus without a usable site ends too.
+    Validation draws from the held-out vocabulary. Passes over the files go on,
+    twice as many each time, until the quota is met; a corpus of which no pass
+    gives a window has an empty part.
     """
     parts = files.join(split_files(files, seed, val_fraction), ["repo", "path"])
     out = None
     for split, vocab, quota, s in (("train", "train", target, seed), ("val", "eval", max(1, int(target * val_fraction)), seed + 1)):
-        w = inject_files(parts.where(F.col("split") == split), vocab, s, passes, windows=True)
-        w = w.withColumn("order", F.md5(F.concat_ws("|", F.lit(str(s)), "repo", "path", "text"))).orderBy("order").limit(quota).drop("order").withColumn("split", F.lit(split))
+        part, w = parts.where(F.col("split") == split), None
+        passes, have, first = 1, 0, 0
+        while have < quota:
+            more = training_windows(inject_files(part, vocab, s, first, passes)).withColumn("pass", F.lit(first))
+            n = more.limit(quota - have).count()
+            w = more if w is None else w.unionByName(more)
+            if not n:
+                break
+            have, first = have + n, first + passes
+            passes = max(passes, -(-(quota - have) // max(1, have // first)))
+        # Of the last passes only as many as the quota lacks, in the order of a hash.
+        w = w.withColumn("order", F.md5(F.concat_ws("|", F.lit(str(s)), "repo", "path", "text"))).orderBy("pass", "order").limit(quota).drop("order", "pass").withColumn("split", F.lit(split))
         out = w if out is None else out.unionByName(w)
     return out
 

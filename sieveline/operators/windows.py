@@ -1,7 +1,7 @@
 """Windows of text and tokens: scan windows, training windows, BIO alignment and decoding.
 
-The two kinds of windows follow from each other within a text, so they run as
-loops over one text at a time in Arrow batches; all else is columns and joins.
+Scan windows follow from each other within a text, so they run as a loop over
+one text at a time in Arrow batches; all else is columns and joins.
 """
 
 from __future__ import annotations
@@ -58,25 +58,33 @@ def scan_windows(texts: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return texts.select(*keep, "text").mapInArrow(run, f"{schema}, window int, start int, end int, chunk string")
 
 
-def training_windows(repo: str, path: str, text: str, spans: list[dict], distractors: list[dict], size: int = SIZE) -> list[dict]:
-    """Line-aligned windows around clusters of spans; only spans that lie in one as a whole go along."""
-    marks = sorted([*spans, *distractors], key=lambda s: s["start"])
-    groups: list[list[dict]] = []
-    for m in marks:
-        if groups and m["end"] - groups[-1][0]["start"] <= size - 2 * PAD:
-            groups[-1].append(m)
-        else:
-            groups.append([m])
-    out = []
-    for g in groups:
-        lo = text.rfind("\n", 0, max(0, g[0]["start"] - PAD)) + 1
-        hi = text.find("\n", min(len(text), g[-1]["end"] + PAD)) + 1 or len(text)
-        if hi - lo > size:
-            hi = text.rfind("\n", 0, lo + size) + 1
-        inside = [[s | {"start": s["start"] - lo, "end": s["end"] - lo} for s in x if s["start"] >= lo and s["end"] <= hi] for x in (spans, distractors)]
-        if any(inside):
-            out.append({"repo": repo, "path": path, "text": text[lo:hi], "spans": inside[0], "distractors": inside[1]})
-    return out
+def training_windows(examples: DataFrame, size: int = SIZE) -> DataFrame:
+    """Line-aligned windows around clusters of the spans and distractors of examples, one row each with the columns of examples.
+
+    A cluster takes in the next mark while the text from its first mark's start
+    to that one's end leaves room for ``PAD`` on both sides.  Only marks that lie in a window
+    as a whole go along, and windows without any are left out.
+    """
+    mark = "struct<first:int,last:int>"
+
+    def join(done: Column, m: Column) -> Column:
+        open_ = F.get(done, F.size(done) - 1)
+        wider = F.struct(open_["first"].alias("first"), m["end"].alias("last")).cast(mark)
+        alone = F.struct(m["start"].alias("first"), m["end"].alias("last")).cast(mark)
+        fits = m["end"] - open_["first"] <= size - 2 * PAD
+        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(alone)))
+
+    marks = F.array_sort(F.transform(F.concat("spans", "distractors"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    clusters = F.aggregate(marks, F.array().cast(f"array<{mark}>"), join)
+    others = [c for c in examples.columns if c not in ("text", "spans", "distractors")]
+    w = examples.select(*others, F.col("text").alias("all"), "spans", "distractors", F.explode(clusters).alias("c"))
+    w = w.withColumn("lo", snap(F.col("all"), F.greatest(F.col("c.first") - PAD, F.lit(0)), False))
+    w = w.withColumn("hi", snap(F.col("all"), F.least(F.col("c.last") + PAD, F.length("all")), True))
+    w = w.withColumn("hi", F.when(F.col("hi") - F.col("lo") > size, snap(F.col("all"), F.col("lo") + size, False)).otherwise(F.col("hi")))
+    moved = lambda s: s.withField("start", s["start"] - F.col("lo")).withField("end", s["end"] - F.col("lo"))
+    inside = [F.transform(F.filter(c, lambda s: (s["start"] >= F.col("lo")) & (s["end"] <= F.col("hi"))), moved).alias(c) for c in ("spans", "distractors")]
+    w = w.select(*others, F.substring("all", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("text"), *inside).where(F.size("spans") + F.size("distractors") > 0)
+    return w.select(*examples.columns)
 
 
 def marker(path: Column) -> Column:
@@ -88,7 +96,7 @@ def marker(path: Column) -> Column:
 def tokens(texts: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Words and single marks of the column text, with offsets: the built-in stand-in for a model's tokenizer."""
     found = find(F.col("text"), "[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]")
-    return texts.select(*keep, F.posexplode(found).alias("idx", "t")).select(*keep, "idx", F.col("t.at").alias("tok_start"), (F.col("t.at") + F.length("t.m")).alias("tok_end"))
+    return texts.select(*keep, F.posexplode(found).alias("idx", "t")).select(*keep, "idx", F.col("t.place.at").alias("tok_start"), (F.col("t.place.at") + F.length("t.m")).alias("tok_end"))
 
 
 def align(toks: DataFrame, spans: DataFrame, key: tuple[str, ...], longest: int = 512) -> DataFrame:

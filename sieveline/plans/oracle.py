@@ -151,7 +151,7 @@ def candidates(source: str, only: tuple[str, ...] = ()) -> str:
     case = "CASE " + " ".join(f"WHEN {test} THEN {lit(name)}" for name, test in gates) + " END"
     return (
         f"raw AS ({' UNION ALL '.join(parts)}), placed AS (SELECT *, start + length(value) AS \"end\", length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1 AS line,"
-        f" split_part(substr(text, 1, start), chr(10), -1) AS lft, substr(text, start + length(value) + 1, 1000) AS rgt, {test_path('path')} AS in_test_path FROM raw),"
+        f" split_part(substr(text, 1, start), chr(10), -1) AS lft, substr(text, start + length(value) + 1) AS rgt, {test_path('path')} AS in_test_path FROM raw),"
         f" judged AS (SELECT *, length(lft) + 1 AS col, {case} AS suppressed_by FROM placed),"
         f" cand AS (SELECT repo, path, text, detector, entity, rank, start, \"end\", line, col, value, base, in_test_path, suppressed_by, suppressed_by IS NULL AS passes,"
         f" CASE WHEN in_test_path AND suppressed_by IS NULL THEN in_test ELSE base END::DOUBLE AS confidence,"

@@ -473,19 +473,23 @@ def injection_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dataset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label counts of a dataset built from documents and fixtures."""
-    return inject.label_counts(inject.build(both(spark, sf_dir), target=300))
+    return inject.label_counts(inject.build(both(spark, sf_dir)))
+
+
+#: Windows that the model of the query is fitted to.
+FITTED = 2_000
 
 
 @query()
 def model_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small token classifier trained on injected windows scans the fixtures; values are masked."""
+    """A token classifier fitted to ``FITTED`` injected windows scans documents and fixtures; values are masked."""
     from ..operators import model as M
 
-    data = inject.build(both(spark, sf_dir), target=200, passes=4).where(F.col("split") == "train").withColumn("window", F.monotonically_increasing_id()).persist()
+    data = inject.build(both(spark, sf_dir), target=FITTED).where(F.col("split") == "train").withColumn("window", F.xxhash64("repo", "path", "text")).dropDuplicates(list(M.KEY)).persist()
     toks = W.tokens(data, M.KEY)
     spans = data.select(*M.KEY, F.explode("spans").alias("s")).select(*M.KEY, "s.start", "s.end", "s.label")
     rows = M.featured(M.weighted(W.align(toks, spans, M.KEY), metrics.class_weights(data)), data)
-    found = M.scan(M.train(rows), fixtures(spark))
+    found = M.scan(M.train(rows), both(spark, sf_dir))
     return longs(D.masked(found).select("repo", "path", "entity", "start", "end", "line", "col", "masked", "detector", "confidence"))
 
 

@@ -133,3 +133,32 @@ def test_version_far_behind_an_address(spark):
     files = spark.createDataFrame([("r", f"{i}.go", t) for i, t in enumerate(texts)], "repo string, path string, text string")
     got = {r.path: r.suppressed_by for r in D.candidates(files, ("ipv4",)).collect()}
     assert got == {"0.go": "version-line", "1.go": "version-line", "2.go": None, "3.go": None}
+
+
+def test_many_matches_in_one_text(spark):
+    """Places of very many matches, on one line and on many, in seconds."""
+    import time
+
+    for sep in (" ", "\n", "é\n"):
+        text = sep.join(f"a{i}@mail.host.net" for i in range(50_000))
+        began = time.perf_counter()
+        got = D.candidates(spark.createDataFrame([("r", "p", text)], "repo string, path string, text string"), ("email",)).select("start", "end", "line", "col").toPandas()
+        assert time.perf_counter() - began < 30
+        want = [m.span() for m in re.finditer(r"a\d+@mail\.host\.net", text, re.A)]
+        assert list(zip(got.start, got.end)) == want
+        assert list(zip(got.line, got.col)) == [(1, a + 1) if sep == " " else (i + 1, 1) for i, (a, _) in enumerate(want)]
+
+
+def test_keywords_before_and_behind_handles(spark):
+    texts = ["declare @one as int", "x @set @two", "x @re-set @two", "set\n@one", "@one\tas  varchar @two", "EXEC   @one", "resets @one", "@a1 @b2 as table @c3", "into\n\n @one"]
+    files = spark.createDataFrame([("r", f"{i}", t) for i, t in enumerate(texts)], "repo string, path string, text string")
+    got = {}
+    for r in D.candidates(files, ("at-handle",)).orderBy("path", "start").collect():
+        got.setdefault(int(r.path), []).append((r.value, r.suppressed_by))
+    left, right = re.compile(r"\b(?:declare|set|into|exec|output)\s+\Z", re.I), re.compile(V.SQL_VAR_RIGHT)
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(r"(?:^|\s)@([A-Za-z0-9][A-Za-z0-9_\-]{2,38})\b", t):
+            line = t[: m.start(1) - 1].rsplit("\n", 1)[-1]
+            want.append((m[1], "sql-variable" if left.search(line) or right.search(t[m.end() : m.end() + 40]) else None))
+        assert got.get(i, []) == want, t

@@ -107,15 +107,23 @@ def test_scan_windows():
             assert (text[b - 1] == "\n" and "\n" not in text[b : a + 1400]) if "\n" in lines else b == a + 1400
 
 
-def test_training_windows():
+def test_training_windows(spark):
     text = "".join(f"line {i} " + "x" * 40 + "\n" for i in range(200))
     span = lambda a, n: {"start": a, "end": a + n, "label": "KEY", "text": text[a : a + n]}
+
+    def windows(spans, distractors):
+        return [r.asDict(True) for r in W.training_windows(spark.createDataFrame([("r", "p", text, spans, distractors)], inject.EXAMPLE)).collect()]
+
     far, close = [span(100, 5), span(6000, 9)], [span(3000, 5), span(3300, 9)]
-    assert len(W.training_windows("r", "p", text, far, [])) == 2 and len(W.training_windows("r", "p", text, close, [])) == 1
-    for w in W.training_windows("r", "p", text, far, close):
+    assert len(windows(far, [])) == 2 and len(windows(close, [])) == 1
+    for w in windows(far, close):
         assert len(w["text"]) <= 1400 and (w["text"].endswith("\n")) and w["text"].startswith("line")
         assert all(w["text"][s["start"] : s["end"]] == s["text"] for s in w["spans"] + w["distractors"])
-    assert W.training_windows("r", "p", text, [], []) == []
+    assert windows([], []) == []
+    edges = [span(0, 3), span(790, 10), span(801, 4), span(len(text) - 6, 5)]  # the second still fits with the first, the third does not
+    got = windows(edges, [])
+    assert [[(s["end"] - s["start"]) for s in w["spans"]] for w in got] == [[3, 10, 4], [10, 4], [5]] and [w["text"] in text for w in got] == [True] * 3
+    assert windows([span(300, 1500)], []) == []  # longer than a window
 
 
 def test_bio_round_trip(spark):
@@ -214,11 +222,22 @@ def test_injection(spark):
     assert inject.broken_examples(shifted).count() > 0
 
 
+def test_dataset_goes_on_until_the_quota_is_met(spark):
+    files = spark.createDataFrame([("r", "f.go", GO), ("r", "g.go", GO), ("r", "none.go", "package x")] * 1 + [("r", f"none{i}.go", "") for i in range(9)], "repo string, path string, text string")
+    n = {r.split: r.n for r in inject.build(files, target=100, val_fraction=0.5).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert n.get("train", 0) in (0, 100) and n.get("val", 0) in (0, 50) and n
+    assert inject.build(files.where("text not like '%import%'"), target=100).count() == 0
+    ex = inject.inject("r", "p.go", GO, 1, "train")
+    assert inject.faults(ex) == []
+    ex["spans"] = [{"start": 0, "end": 3, "label": "KEY", "text": "abc"}, {"start": 2, "end": 10**6, "label": "KEY", "text": ""}]
+    assert set(inject.faults(ex)) == {"value", "overlap", "range"}
+
+
 def test_dataset(spark, tmp_path):
     files = spark.createDataFrame([("r", f"f{i}.go", GO) for i in range(30)] + [("r", "none.go", "package x")], "repo string, path string, text string")
     split = inject.split_files(files)
     assert split.where("split = 'train'").count() == int(31 * 0.9) and split.count() == 31
-    data = inject.build(files, target=40, passes=3).persist()
+    data = inject.build(files, target=40).persist()
     n = {r.split: r.n for r in data.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert n["train"] == 40 and n["val"] == 4
     inject.write_dataset(data, str(tmp_path / "d"))
