@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .store import small_batches
+from .store import prepare
 
 #: Entries that a worker's memos of pieces and of token pairs hold at most; older ones are computed anew.
 MEMO = 200_000
@@ -164,7 +164,7 @@ def with_bpe(spark: SparkSession, path: str, pattern: str):
 
 def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
     """Per row: the columns ``keep``, the number of ids, digests of ids and of the decoded bytes, and the ids if asked for."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     get = with_bpe(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

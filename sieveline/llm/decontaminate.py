@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, written
+from .store import prepare, written
 from .text import Flat, U, folded, mix, slices
 from .toxicity import tokens
 
@@ -159,7 +159,7 @@ def _match(index: Index):
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Per row: doc_id, whether it is contaminated, the items and the most equal words in a window."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = list(_blocks(benchmark))
     if len(blocks) == 1:
@@ -190,7 +190,7 @@ def _clean(index: Index, text: str):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The clean rows of docs, all columns."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     for index in _blocks(benchmark):
         docs = docs.mapInArrow(_clean(index, text), docs.schema)
     return docs

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, written
+from .store import prepare, written
 
 BROADCAST = 64 << 20
 #: Of the alignment, none of which changes its result: children up to which rows are lists, places of a table that is kept whole, weights kept, frames.
@@ -444,7 +444,7 @@ def _sized(df: DataFrame, column: str) -> DataFrame:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
-    small_batches(pages.sparkSession)
+    prepare(pages.sparkSession)
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]+)", 1))
     source = pages.select("page_id", "url", F.when(host != "", host).alias("host"), "html")
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import SYMBOLS, counts
-from .store import small_batches, written
+from .store import prepare, written
 from .text import Flat, in_groups, per_doc, slices
 
 BINS = 64
@@ -172,7 +172,7 @@ def held_out(folds: int, held: int):
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and the statistics x of each row."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text).mapInArrow(_measure, f"doc_id {kind}, x array<float>")
 
@@ -211,6 +211,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = 30_000, t
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 30_000, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, that the classifier accepts."""
+    prepare(docs.sparkSession)
     chosen = written(sampled(labels, sample), "quality-sample")
     # At most ``sample`` ids, so they can be sent to every task.
     trees = train(measured(docs.select("doc_id", "text").join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"), "left_semi")), chosen, sample)

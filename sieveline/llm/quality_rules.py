@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, written
+from .store import prepare, written
 from .text import Flat, in_groups, per_doc, slices
 
 #: Characters that count as symbols.
@@ -88,7 +88,7 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 def host_rules(docs: DataFrame, host: str = "source", text: str = "text", min_words: int = 10, max_repeat_pct: int = 20, max_host_rate: float = 0.5) -> DataFrame:
     """Counts, base verdict, the host's shrunk rate and the final verdict of each row."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     measured = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(text).alias("text")).mapInArrow(
         _measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, {COUNTS}"
     )

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import prepare, written
 
 
 def quotas(asked: dict[tuple[int, int], int], sizes: list[int], capacity: float) -> dict[tuple[int, int], float]:
@@ -57,6 +57,7 @@ def _unit(*cols):
 
 def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: float = 0.25, text: str = "text", bucket_rows: int = 4000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row."""
+    prepare(docs.sparkSession)
     content = F.coalesce(F.col(text), F.lit(""))
     rows = written(
         docs.select(

@@ -19,9 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Lets Arrow batches hold some MB at most (Spark's own bound is far higher), so that texts of any length leave room in an executor."""
+def prepare(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Session settings that all operators rely on.
+
+    Arrow batches hold some MB at most (Spark's own bound is far higher), so that texts of any length leave room in an executor.
+    Folders named by file: are written without a checksum file and without the `chmod` process that Hadoop, where its
+    native library is missing, starts for each new file: such a process is a clone of the executor's JVM for a moment.
+    Other file systems are not concerned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+    spark.conf.set("fs.file.impl.disable.cache", "true")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -32,4 +40,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """The rows of df, written once as Parquet and read back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "__dict__", {}).get("stored_at"):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

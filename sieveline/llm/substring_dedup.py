@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex, RangeMin
-from .store import small_batches, written
+from .store import prepare, written
 from .text import Flat, rolled, slices
 
 U64 = np.uint64
@@ -216,7 +216,7 @@ def _check_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def find_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, key (hash of the text) and the covered windows as a list of (window, mask), for documents that have any."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     source = source.where(F.octet_length("text") >= 2 * WINDOW - 1)
     runs = written(source.mapInArrow(_anchors, "doc_id long, key long, anchor long, window int, many int"), "anchors")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, written
+from .store import prepare, written
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 #: Chunks that a worker remembers at most.
@@ -96,7 +96,7 @@ def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text", limit: int = 2048) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens and whether there are more than ``limit`` tokens."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     with open(tokenizer, "rb") as f:
         file = f.read()
     key, sent = tokenizer_digest(file), spark.sparkContext.broadcast(file)  # as large as the tokenizer's file

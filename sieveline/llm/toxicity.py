@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_gbt import held_out, labelled
-from .store import small_batches, written
+from .store import prepare, written
 from .text import Flat, U, folded, mix, rolled, slices
 
 HALF, PREFIX = 6, 4
@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, text: str = "
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6_000, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted and the toxic spans (code point offsets and marginals) of each row."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     crf = train(docs, labels, sample, text)  # some thousand weights, whatever the data's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
