@@ -5,19 +5,19 @@ document with a smaller doc_id.
 
 1. Each window picks an anchor: the smallest hash of its 8-word runs.  Equal
    windows pick the same one, and neighbouring windows mostly share it, so a
-   document has about one anchor for 22 windows.  Anchors that occur once in
-   the corpus cannot lie in a repeated window.
-2. For anchors that recur, the passage of the windows around them is cut out.
-   Equal passages of one anchor become one with the smallest doc_id; every
+   document has about one anchor for 22 windows.  An anchor that no second
+   document has cannot lie in a repeated window.
+2. For the other anchors, the passage of the windows around them is cut out.
+   Equal passages of one anchor become one with the smallest doc_id before they are searched; every
    other occurrence of it is covered as a whole.
-3. Passages are dealt by anchor into shards.  A shard gets an FM-index with a
-   wavelet matrix; its passages stream through backward search, and the
-   smallest doc_id over each suffix interval tells which windows start in an
-   earlier document.  Runs of windows are settled together: if the words that
-   all share are not found earlier none is, if their union is all are, else
-   the run is halved.  Anchors with very many different passages are first cut
-   into single windows dealt by their content, so no shard grows with them.
-4. Covered windows go back to their documents.
+3. Passages are dealt by anchor into shards.  A shard gets a compressed FM-index
+   over a wavelet matrix; its documents' passages stream through backward search, which follows the
+   matching statistics against documents with a smaller doc_id, and places
+   with 50 words or more are windows that start earlier.
+4. An anchor with more than ``HOT_PASSAGES`` different passages, as a common phrase has, is not
+   dealt as one: its passages pick further anchors among their 24-word runs and,
+   where one of these is hot too, single windows, which are told apart by content alone.  So no shard grows with a phrase.
+5. Covered windows go back to their documents.
 
 Defined cases: null or empty text has no words; texts below 50 words lose
 none; rows with one doc_id do not count against each other; rows with null
@@ -35,30 +35,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fm_index import FMIndex, RangeMin
-from .store import prepare, written
+from .fm_index import FMIndex
+from .store import prepare, remove, written
 from .text import Flat, rolled, slices
 
 U64 = np.uint64
-WINDOW, RUN = 50, 8
-SPAN = WINDOW - RUN + 1
+WINDOW = 50
+#: Words of the runs that anchors are picked from, on each level.
+RUNS = (8, 24, WINDOW)
 #: Symbols that one FM-index holds; a shard of whole anchors may be somewhat larger.
 SHARD = 250_000
-#: An anchor with more different passages than this is cut into single windows: an index of so many takes some 300 MB.
-HOT_PASSAGES = 20_000
+#: An anchor with more different passages than this is split by further anchors.
+HOT_PASSAGES = 300
 
 
-def anchors(f: Flat) -> tuple[np.ndarray, ...]:
-    """For each run of at most SPAN windows with one anchor: document, anchor, first window, windows."""
-    none = np.zeros(0, np.int64)
+def anchors(f: Flat, run: int) -> tuple[np.ndarray, ...]:
+    """For each row of windows with one anchor, at most as many as have one place of the anchor in common: document, anchor, first window, windows."""
+    none, span = np.zeros(0, np.int64), WINDOW - run + 1
     n = len(f.doc) - WINDOW + 1
     inside = np.flatnonzero(f.doc[:n] == f.doc[WINDOW - 1 :]) if n > 0 else none
     if not len(inside):
         return none, none, none, none
-    v = rolled(f.word_hash, RUN)
+    v = rolled(f.word_hash, run)
     step = 1
-    while step < SPAN:  # minima of 1, 2, 4, ... runs, at last of SPAN
-        by = min(step, SPAN - step)
+    while step < span:  # minima of 1, 2, 4, ... runs, at last of all of a window
+        by = min(step, span - step)
         v = np.minimum(v[:-by], v[by:])
         step += by
     v, doc = v[inside].view(np.int64), f.doc[inside]
@@ -66,26 +67,34 @@ def anchors(f: Flat) -> tuple[np.ndarray, ...]:
     new[1:] = (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     place = np.arange(len(inside)) - np.repeat(first, np.diff(np.append(first, len(inside))))
-    first = np.flatnonzero(place % SPAN == 0)  # repeated words can keep an anchor for longer
+    first = np.flatnonzero(place % span == 0)  # repeated words can keep an anchor for longer
     return doc[first], v[first], inside[first] - f.first[doc[first]], np.diff(np.append(first, len(inside)))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for rows, f in slices(b.column(2)):
-            doc, anchor, window, many = anchors(f)
-            part = b.slice(rows.start, rows.stop - rows.start).select([0, 1]).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(anchor), pa.array(window.astype(np.int32)), pa.array(many.astype(np.int32))],
-                ["doc_id", "key", "anchor", "window", "many"],
-            )
+def _anchors(run: int):
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, f in slices(b.column(2)):
+                doc, anchor, window, many = anchors(f, run)
+                part = b.slice(rows.start, rows.stop - rows.start).select([0, 1]).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(anchor), pa.array(window.astype(np.int32)), pa.array(many.astype(np.int32))],
+                    ["doc_id", "key", "anchor", "window", "many"],
+                )
+
+    return rows_of
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts out the words of each run of windows."""
+    """Cuts out the words of each run of windows, once where repeated rows come behind each other."""
+    last = None
     for b in batches:
         for d, k, t, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-            words = t.as_py().encode().split()
+            if (d, k) == last:
+                continue
+            last = d, k
+            words = t.as_py()
+            words = (words.encode() if isinstance(words, str) else words).split()
             r = runs.values.flatten()
             anchor, window, many = r[0], r[1].to_numpy(), r[2].to_numpy()
             cut = [b" ".join(words[w : w + m + WINDOW - 1]) for w, m in zip(window.tolist(), many.tolist(), strict=True)]
@@ -96,46 +105,28 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _symbols(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of passages behind each other, a separator 0 behind each; the place of each one's first; the passage of each symbol."""
+def _symbols(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of passages behind each other, a separator 0 behind each; the place of each one's first, and at last the end."""
     hashes, counts = [], []
     for _, f in slices(pa.array(passages, pa.binary())):
         hashes.append(f.word_hash)
         counts.append(np.diff(f.first))
     count = np.concatenate(counts)
-    owner = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    owner = np.repeat(np.arange(len(count)), count)
     ids = np.unique(np.concatenate(hashes), return_inverse=True)[1]
     symbols = np.zeros(len(ids) + len(count), np.int64)
     symbols[np.arange(len(ids)) + owner] = ids + 1
-    return symbols, np.concatenate([[0], np.cumsum(count + 1)]), np.repeat(np.arange(len(count), dtype=np.int32), count + 1)
+    return symbols, np.concatenate([[0], np.cumsum(count + 1)])
 
 
 def earlier_windows(passages: list[bytes], docs: np.ndarray) -> list[int]:
     """For each passage, bit w says that its window w also starts in a passage with a smaller document."""
-    n = len(passages)
-    symbols, place, owner = _symbols(passages)
-    index = FMIndex(symbols, 2 * WINDOW)
-    docs = np.unique(docs, return_inverse=True)[1].astype(np.int32)
-    least = RangeMin(docs[owner[index.sa]])
-
-    def earlier(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        lo, hi = index.search(symbols, place[k] + a, place[k] + b)
-        return least.over(lo, hi, len(docs)) < docs[k]
-
-    masks = np.zeros(n, U64)
-    k = np.arange(n)
-    lo, hi = np.zeros(n, np.int64), np.diff(place) - 1 - WINDOW  # first and last window of each run
-    while len(k):
-        some = earlier(k, hi, lo + WINDOW)
-        k, lo, hi = k[some], lo[some], hi[some]
-        every = lo == hi
-        open_ = np.flatnonzero(~every)
-        every[open_] = earlier(k[open_], lo[open_], hi[open_] + WINDOW)
-        run = ((U64(1) << (hi[every] - lo[every] + 1).astype(U64)) - U64(1)) << lo[every].astype(U64)
-        np.bitwise_or.at(masks, k[every], run)
-        k, lo, hi = k[~every], lo[~every], hi[~every]
-        mid = (lo + hi) // 2
-        k, lo, hi = np.concatenate([k, k]), np.concatenate([lo, mid + 1]), np.concatenate([mid, hi])
+    symbols, place = _symbols(passages)
+    docs = np.unique(docs, return_inverse=True)[1]
+    index = FMIndex(symbols, np.repeat(docs, np.diff(place)), 2 * WINDOW)
+    k, at = index.statistics(symbols, place[:-1], place[1:] - 1, docs, WINDOW)
+    masks = np.zeros(len(passages), U64)
+    np.bitwise_or.at(masks, k, U64(1) << at.astype(U64))
     return masks.view(np.int64).tolist()
 
 
@@ -162,78 +153,55 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done(rows)
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of passages, one row each: anchor, passage's content, window's place, its words, doc_id."""
-    for b in batches:
-        for a, c, words, d, many in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            w = words.split()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a] * many, pa.int64()), pa.array([c] * many, pa.int64()), pa.array(range(many), pa.int32()), pa.array([b" ".join(w[i : i + WINDOW]) for i in range(many)], pa.binary()), pa.array([d] * many, pa.int64())],
-                ["anchor", "content", "at", "words", "doc_id"],
-            )
-
-
-def _search(variants: DataFrame) -> DataFrame:
-    """anchor, content, mask of the passages of which some windows start earlier in another passage."""
+def _search(variants: DataFrame, runs: tuple[int, ...], made: list[DataFrame]) -> DataFrame:
+    """anchor, content, mask of the passages of which some windows start earlier in another passage. made: takes the tables that the result reads."""
     n = written(variants.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "varied")
-    variants = variants.join(n, "anchor")
-    shard = "anchor long, content long, mask long"
-    few = variants.where(F.col("variants") <= HOT_PASSAGES).select("anchor", "content", "words", "doc_id", "many")
-    found = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, shard)
-    hot = variants.where(F.col("variants") > HOT_PASSAGES).select("anchor", "content", "words", "doc_id", "many")
-    singles = hot.mapInArrow(_single_windows, "anchor long, content long, at int, words binary, doc_id long").withColumn("window", F.xxhash64("words"))
-    # Equal windows of a hot anchor are one passage of one window; the index is dealt by its content.
-    least = singles.groupBy("anchor", "window", "words").agg(F.min("doc_id").alias("doc_id"))
-    seen = least.select(F.xxhash64("anchor", "window").alias("deal"), "window", "words", "doc_id", F.lit(1).alias("many"), "anchor")
-    checked = seen.repartition("deal").sortWithinPartitions("deal").mapInArrow(_check_windows, "anchor long, window long, least long")
-    cut = singles.join(checked, ["anchor", "window"]).where(F.col("doc_id") > F.col("least"))
-    cut = cut.groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    return found.unionByName(cut)
-
-
-def _check_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The smallest doc_id of each single window, from backward search over the shard's windows."""
-
-    def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        passages, docs = [r[2] for r in rows], np.array([r[3] for r in rows], np.int64)
-        symbols, place, owner = _symbols(passages)
-        index, place = FMIndex(symbols, WINDOW), place[:-1]
-        lo, hi = index.search(symbols, place, place + WINDOW)
-        least = RangeMin(docs[owner[index.sa]]).over(lo, hi, np.iinfo(np.int64).max)
-        yield pa.RecordBatch.from_arrays([pa.array([r[5] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(least)], ["anchor", "window", "least"])
-
-    rows: list[tuple] = []
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if len(rows) * (WINDOW + 1) > SHARD and r[0] != rows[-1][0]:
-                yield from done(rows)
-                rows = []
-            rows.append(r)
-    yield from done(rows)
-
-
-def find_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, key (hash of the text) and the covered windows as a list of (window, mask), for documents that have any."""
-    prepare(docs.sparkSession)
-    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    source = source.where(F.octet_length("text") >= 2 * WINDOW - 1)
-    runs = written(source.mapInArrow(_anchors, "doc_id long, key long, anchor long, window int, many int"), "anchors")
+    varied = variants.join(n, "anchor").select("anchor", "content", "words", "doc_id", "many", "variants")
+    made.append(n)
+    few = (varied.where(F.col("variants") <= HOT_PASSAGES) if runs else varied).drop("variants")
+    found = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "anchor long, content long, mask long")
+    if not runs or n.where(F.col("variants") > HOT_PASSAGES).isEmpty():
+        return found
+    hot = written(varied.where(F.col("variants") > HOT_PASSAGES).select("anchor", "content", F.xxhash64("anchor", "content").alias("key"), "doc_id", F.col("words").alias("text")), "hot-passages")
+    made.append(hot)
+    inner = _covered(hot.select("doc_id", "key", "text"), made, runs).groupBy("doc_id", "key").agg(F.bit_or(F.expr("shiftleft(mask, window)")).alias("mask"))
+    return found.unionByName(hot.select("doc_id", "key", "anchor", "content").join(inner, ["doc_id", "key"]).select("anchor", "content", "mask"))
+
+
+def _covered(units: DataFrame, made: list[DataFrame], runs: tuple[int, ...] = RUNS) -> DataFrame:
+    """doc_id, key, window, mask: bit w of the mask says that window + w starts earlier. units: doc_id, key of the text, text."""
+    rows = written(units.mapInArrow(_anchors(runs[0]), "doc_id long, key long, anchor long, window int, many int"), "anchors")
     # Written, here and below, so that a join deals it anew and can split hot anchors.
-    twice = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "recurring")
-    runs = runs.join(twice, "anchor").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "window", "many")).alias("runs"))
-    passages = source.join(runs, ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
+    twice = written(rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "recurring")
+    # A set, so that repeated rows are one.
+    lists = rows.join(twice, "anchor").groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "window", "many")).alias("runs"))
+    passages = units.join(lists, ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
     passages = passages.mapInArrow(_passages, "doc_id long, key long, anchor long, window int, many int, words binary")
     passages = written(passages.withColumn("content", F.xxhash64("words")), "passages")
+    remove(rows, twice)
     variants = written(passages.groupBy("anchor", "content", "words", "many").agg(F.min("doc_id").alias("doc_id")), "variants")
-    masks = written(_search(variants), "masks")
+    inner: list[DataFrame] = []
+    masks = written(_search(variants, runs[1:], inner), "masks")
+    remove(*inner)
     least = variants.select("anchor", "content", F.col("doc_id").alias("least")).join(masks, ["anchor", "content"], "left")
     least = written(least, "least")
+    remove(variants, masks)
+    made += [passages, least]
     full = F.expr("shiftleft(1L, many) - 1")  # many is at most 43
     found = passages.drop("words").join(least, ["anchor", "content"])
     found = found.withColumn("mask", F.when(F.col("doc_id") > F.col("least"), full).otherwise(F.col("mask"))).where(F.col("mask") != 0)
-    return found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("window", "mask")).alias("covered"))
+    return found.select("doc_id", "key", "window", "mask")
+
+
+def find_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, key (hash of the text) and the covered windows as a list of (window, mask), for documents that have any."""
+    prepare(docs.sparkSession)
+    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    made: list[DataFrame] = []
+    found = _covered(source.where(F.octet_length("text") >= 2 * WINDOW - 1), made)
+    covered = written(found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("window", "mask")).alias("covered")), "covered")
+    remove(*made)
+    return covered
 
 
 def covered_words(n: int, covered: list[dict]) -> np.ndarray:
