@@ -122,10 +122,14 @@ def score_gold(spark: SparkSession, a: argparse.Namespace) -> int:
 
     from .operators import model as M
 
-    rows = S.read_jsonl(spark, a.gold, gold.GOLD).where("label <> 'UNSURE'")
+    rows = S.read_jsonl(spark, a.gold, gold.GOLD)
     files = corpus(spark, a.root, a.set).join(rows.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     found = M.scan(PipelineModel.load(a.model), files).select("repo", "path", "start", "end", F.col("entity").alias("label"))
-    metrics.negatives_by_detector(metrics.gold_hits(rows, found, ("repo", "path"))).show(100, False)
+    scored = metrics.rescored(rows, files, found, ("repo", "path"), a.survivors_only).persist()
+    metrics.rescore_summary(scored).orderBy("kind").show()
+    metrics.negatives_by_detector(scored.where("kind <> 'skipped'")).show(100, False)
+    places = F.concat_ws("/", "repo", "path").alias("path")
+    scored.where("kind = 'positive'").select(F.when(F.col("predicted").isNull(), "MISSED").otherwise("FOUND").alias("recall"), "entity", "predicted", places).orderBy("path", "entity").show(1000, False)
     return 0
 
 
@@ -147,7 +151,7 @@ def parser() -> argparse.ArgumentParser:
     command("evaluate", evaluate_, root, set_, gold_)
     command("generate", generate, root, ("--set", {"default": "train"}), ("--target", {"type": int, "default": 30_000}), ("--seed", {"type": int, "default": 20260925}), ("--verify", {"type": int, "default": 500}), ("--out", {"default": "data/synth"}))
     command("train", train, ("--data", {"default": "data/synth"}), ("--epochs", {"type": int, "default": 30}), ("--out", {"default": "data/model"}), ("--history", {"default": "data/history.json"}))
-    command("score-gold", score_gold, root, set_, gold_, ("--model", {"default": "data/model"}))
+    command("score-gold", score_gold, root, set_, gold_, ("--model", {"default": "data/model"}), ("--survivors-only", {"action": "store_true"}))
     return p
 
 

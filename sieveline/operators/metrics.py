@@ -77,6 +77,28 @@ def gold_hits(gold: DataFrame, pred: DataFrame, key: tuple[str, ...]) -> DataFra
     return g.join(p, on, "left").withColumn("n", F.row_number().over(first)).where("n = 1").select(*[g[k] for k in key], "start", "end", "entity", "detector", "label", "stratum", "predicted")
 
 
+def rescored(gold: DataFrame, files: DataFrame, pred: DataFrame, key: tuple[str, ...], survivors_only: bool = False) -> DataFrame:
+    """Each gold row that can be scored with the label of the first predicted span over it, as ``gold_hits``, and a column kind.
+
+    kind: skipped (an unsure verdict, no such file, or a span beyond its text's end), positive (sensitive, if only in part), negative.
+    With ``survivors_only`` rows that the gates drop are left out.
+    """
+    sizes = files.select(*[F.col(k).alias(f"_{k}") for k in key], F.length("text").alias("n_chars"))
+    g = gold.where(F.col("stratum").endswith("|kept")) if survivors_only else gold
+    g = g.join(sizes, [g[k] == F.col(f"_{k}") for k in key], "left").drop(*[f"_{k}" for k in key])
+    skip = (F.col("label") == "UNSURE") | F.col("n_chars").isNull() | (F.col("end") > F.col("n_chars"))
+    kind = F.when(skip, "skipped").when(F.col("label").isin("TRUE", "WRONG_SPAN"), "positive").otherwise("negative")
+    g = g.withColumn("kind", kind)
+    hits = gold_hits(g.where("kind <> 'skipped'"), pred, key)
+    skipped = g.where("kind = 'skipped'").select(*[c for c in hits.columns if c != "predicted"], F.lit(None).cast("string").alias("predicted"), "kind")
+    return hits.withColumn("kind", F.when(F.col("label").isin("TRUE", "WRONG_SPAN"), "positive").otherwise("negative")).unionByName(skipped)
+
+
+def rescore_summary(rows: DataFrame) -> DataFrame:
+    """For each kind: rows, and how many a predicted span covers."""
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("predicted").isNotNull()).alias("flagged"))
+
+
 def negatives_by_detector(hits: DataFrame) -> DataFrame:
     """Of surviving candidates that are no sensitive data, how many a model still flags. Unsure verdicts are left out."""
     no = hits.where(F.col("stratum").endswith("|kept") & F.col("label").isin("FALSE", "WRONG_ENTITY"))

@@ -36,3 +36,20 @@ LICENCES = [
     ("r1", "Apache License\n  Version 2.0, January 2004"), ("r2", "Permission is hereby granted,\nfree of charge, to any person"), ("r3", "Redistribution and use in source and binary forms ... Neither the name of X"),
     ("r4", "Redistribution and use in source and binary forms are permitted"), ("r5", "Mozilla Public License Version 2.0"), ("r6", "All rights reserved"), ("r7", "Permission is hereby granted, free of charge. X Consortium"),
 ]
+
+#: A source tree: path and bytes of each file.
+TREE = [
+    (".gitignore", b"# built\n/out/*\n!out/kept.go\n*.tmp.go\n"), ("main.go", b"\xef\xbb\xbfpackage main\r\n\r\nvar mail = \"tilda.ashdown@posteo.de\"\r\n"), ("pkg/odd.go", b"a := \"9.9.9.9\" // bad \xff\xfe bytes\ry := 1\n"),
+    ("pkg-x/b.go", b"// ask p.ferreira@web.de\n"), ("vendor/v.go", b"x := \"9.9.9.9\"\n"), ("web/node_modules/n.go", b"x := \"9.9.9.9\"\n"), ("out/gone.go", b"x := \"9.9.9.9\"\n"), ("out/kept.go", b"userName := \"wkimani\"\n"),
+    ("a.tmp.go", b"x := \"9.9.9.9\"\n"), ("made.go", b"package main\n// Code generated by maker. DO NOT EDIT.\nx := \"9.9.9.9\"\n"), ("note.txt", b"9.9.9.9\n"), ("pkg/x_test.go", b"b := \"81.2.69.160\"\n"),
+    ("big.go", b"// " + b"x" * 2_000_000), ("LICENSE", b"\xef\xbb\xbfApache License\r\nVersion 2.0\r\n"), ("COPYING", b"Mozilla Public License Version 2.0\n"),
+]
+#: The texts that a scan of the tree reads.
+TREE_TEXTS = [
+    ("tree", "main.go", "package main\n\nvar mail = \"tilda.ashdown@posteo.de\"\n"), ("tree", "pkg/odd.go", "a := \"9.9.9.9\" // bad �� bytes\ny := 1\n"), ("tree", "pkg-x/b.go", "// ask p.ferreira@web.de\n"),
+    ("tree", "out/kept.go", "userName := \"wkimani\"\n"), ("tree", "pkg/x_test.go", "b := \"81.2.69.160\"\n"),
+]
+LOCK = {
+    "set": "train", "fetched_at": "2024-03-01T08:00:00+00:00", "scan_config": {"depth": "1"},
+    "repos": [{"name": "ledger", "license": "MIT", "go_files": 12}, {"name": "parcel", "license": "Apache-2.0", "go_files": 30}], "rejected": [{"name": "closed", "license": None}],
+}

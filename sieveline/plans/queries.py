@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -197,7 +199,7 @@ BUDGET = 60
 
 
 def gold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.collect(both(spark, sf_dir)).withColumn("shuffle", gold.order_key(7, *gold.KEY))
+    return S.stored(gold.collect(both(spark, sf_dir)).withColumn("shuffle", gold.order_key(7, *gold.KEY)))
 
 
 def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,11 +392,17 @@ def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(W.decode(labels, KEYS, files))
 
 
-@query("SELECT 0::BIGINT AS misaligned")
+@query(f"WITH {BIO_SQL} SELECT 0::BIGINT AS misaligned, (SELECT count(*) FROM spans)::BIGINT AS spans, (SELECT count(*) FROM bio WHERE tag LIKE 'B%')::BIGINT AS opened, (SELECT count(*) FROM bio WHERE tag LIKE 'I%')::BIGINT AS continued")
 def bio_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans that their labels do not cover: none."""
-    _, spans, labels = bio(spark, sf_dir)
-    return W.misaligned(labels, spans, KEYS).agg(F.count("*").alias("misaligned"))
+    """Spans that their labels do not cover: none; with the numbers of spans and of labelled tokens."""
+    return verified(*bio(spark, sf_dir)[1:])
+
+
+def verified(spans: DataFrame, labels: DataFrame) -> DataFrame:
+    opens = list(range(1, len(V.LABELS), 2))
+    n = labels.agg(F.count_if(F.col("label_id").isin(opens)).alias("opened"), F.count_if((F.col("label_id") > 0) & ~F.col("label_id").isin(opens)).alias("continued"))
+    bad = W.misaligned(labels, spans, KEYS).agg(F.count("*").alias("misaligned"))
+    return bad.join(spans.agg(F.count("*").alias("spans"))).join(n)  # three single rows
 
 
 ENTITY_ROWS = "(SELECT unnest([" + ", ".join(map(O.lit, V.ENTITIES)) + "]) AS label)"
@@ -458,16 +466,36 @@ def go_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(golang.exploded(golang.sites(both(spark, sf_dir))))
 
 
-@query("SELECT 0::BIGINT AS broken")
+# Tokens that hold sites or hide quotes from them; a string ends with its line.
+_LEX = "(?s)//[^\\n]*|/\\*.*?(?:\\*/|\\z)|\"(?:[^\"\\n\\\\]|\\\\[^\\n])*(?:\"|\\n|\\z)|`[^`]*(?:`|\\z)|'(?:[^'\\n\\\\]|\\\\.)+'"
+SITES_SQL = (
+    f"lexed AS (SELECT repo, path, pos, CASE WHEN left(m, 1) = '\"' THEN rtrim(m, chr(10)) ELSE m END AS m FROM {O.matches(O.ALL, _LEX)} WHERE left(m, 1) <> chr(39)),"
+    " bodies AS (SELECT *, left(m, 1) AS q, length(m) > 1 AND right(m, 1) = left(m, 1) AS closed FROM lexed),"
+    " sites AS (SELECT repo, path, CASE WHEN q = '/' THEN pos ELSE pos + 1 END AS start, pos + length(m) - CASE WHEN q <> '/' AND closed THEN 1 ELSE 0 END AS \"end\", CASE q WHEN '/' THEN 'comment' WHEN '`' THEN 'raw_string' ELSE 'string' END AS kind FROM bodies)"
+)
+
+
+@query(f"WITH {SITES_SQL} SELECT repo, path, start, \"end\", kind FROM sites WHERE \"end\" > start")
+def go_site_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all sites; struct tags count as the raw strings that they are to a lexer."""
+    s = golang.exploded(golang.sites(both(spark, sf_dir)))
+    return longs(s.select("repo", "path", "start", "end", F.when(F.col("kind") == "struct_tag", "raw_string").otherwise(F.col("kind")).alias("kind")))
+
+
+@query(f"WITH {SITES_SQL} SELECT 0::BIGINT AS broken, count(*)::BIGINT AS sites FROM sites WHERE \"end\" > start")
 def sites_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = both(spark, sf_dir)
-    return golang.broken_sites(files, golang.sites(files)).agg(F.count("*").alias("broken"))
+    found = golang.sites(files)
+    return golang.broken_sites(files, found).agg(F.count("*").alias("broken")).join(golang.exploded(found).agg(F.count("*").alias("sites")))  # two single rows
 
 
-@query("SELECT 0::BIGINT AS broken")
+@query(f"WITH {SITES_SQL} SELECT 0::BIGINT AS broken, count(DISTINCT (repo, path))::BIGINT AS examples FROM sites WHERE \"end\" > start AND kind = 'string'")
 def injection_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Injected spans that do not hold what was put there: none."""
-    return inject.broken_examples(inject.inject_files(both(spark, sf_dir), "train")).agg(F.count("*").alias("broken"))
+    """Injected spans that do not hold what was put there: none; and the examples from files with strings: all of these give one."""
+    files = both(spark, sf_dir)
+    made = inject.inject_files(files, "train")
+    strings = golang.exploded(golang.sites(files)).where("kind = 'string'").select("repo", "path").distinct()
+    return inject.broken_examples(made).agg(F.count("*").alias("broken")).join(made.join(strings, ["repo", "path"], "left_semi").agg(F.count("*").alias("examples")))  # two single rows
 
 
 @query()
@@ -546,8 +574,7 @@ def bio_decode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bio_verify_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, spans, labels = bio_docs(spark, sf_dir)
-    return W.misaligned(labels, spans, KEYS).agg(F.count("*").alias("misaligned"))
+    return verified(*bio_docs(spark, sf_dir)[1:])
 
 
 def exact_scores_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -570,3 +597,115 @@ def span_prf_overlap_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, spans, labels = bio_docs(spark, sf_dir)
     moved = W.decode(labels, KEYS, files).withColumn("end", F.col("end") + 1)
     return metrics.scores(metrics.overlap_matches(moved, spans, KEYS))
+
+
+@query(
+    f"WITH {GOLD_SQL}, g AS (SELECT repo, path, start, \"end\" + CASE WHEN substr(shuffle, 4, 1) = '0' THEN 10000000 ELSE 0 END AS \"end\", entity, detector, label, length(text) AS n_chars FROM gold),"
+    " k AS (SELECT *, CASE WHEN label = 'UNSURE' OR \"end\" > n_chars THEN 'skipped' WHEN label IN ('TRUE', 'WRONG_SPAN') THEN 'positive' ELSE 'negative' END AS kind FROM g),"
+    " pred AS (SELECT repo, path, start + 1 AS ps, \"end\" + 2 AS pe FROM cand WHERE passes AND confidence >= 0.7)"
+    " SELECT kind, count(*) AS n, count(*) FILTER (kind <> 'skipped' AND EXISTS (SELECT 1 FROM pred p WHERE p.repo = k.repo AND p.path = k.path AND pe > k.start AND ps < k.\"end\")) AS flagged FROM k GROUP BY kind"
+)
+def gold_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold rows by kind and how many predicted spans (here: shifted findings) still cover; some spans lie beyond their text."""
+    rows = gold_rows(spark, sf_dir).withColumn("end", F.when(F.substring("shuffle", 4, 1) == "0", F.col("end") + 10_000_000).otherwise(F.col("end")))
+    files = both(spark, sf_dir)
+    pred = D.candidates(files).where("passes and confidence >= 0.7").select("repo", "path", (F.col("start") + 1).alias("start"), (F.col("end") + 2).alias("end"), F.col("entity").alias("label"))
+    return metrics.rescore_summary(metrics.rescored(rows, files, pred, ("repo", "path")))
+
+
+# Sources and sinks: a small source tree with everything that a scan passes over, JSON lines, lockfiles, licences.
+TREE_TEXTS = O.values(X.TREE_TEXTS, "repo, path, text")
+
+
+def tree(spark: SparkSession) -> str:
+    root = S.scratch_folder(spark)
+    for path, content in X.TREE:
+        S.write_bytes(spark, f"{root}/{path}", content)
+    return root
+
+
+@query(f"SELECT repo, path, md5(text) AS text_md5, length(text) AS n_chars, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM {TREE_TEXTS}")
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a scan of a tree reads, decoded, in the order of their paths' parts."""
+    files = S.read_tree(spark, tree(spark), "tree").withColumn("place", F.row_number().over(Window.orderBy(F.split("path", "/"))))
+    return longs(files.select("repo", "path", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "place"))
+
+
+@query(f"WITH {O.candidates(TREE_TEXTS)} SELECT {SHOWN_SQL}, (SELECT count(*) FROM {TREE_TEXTS})::BIGINT AS n_files FROM ({DEDUPED})")
+def tree_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of a tree, and how many files were read (those without findings too)."""
+    files = S.read_tree(spark, tree(spark), "tree")
+    return shown(D.scan(files)).join(files.agg(F.count("*").alias("n_files")))  # one row
+
+
+_MADE = "CASE doc_id % 3 WHEN 0 THEN '// Code generated by maker. DO NOT EDIT.' || chr(10) || text WHEN 1 THEN repeat('x', 4090) || chr(10) || '// Code generated by maker. DO NOT EDIT.' || chr(10) || text ELSE text END"
+
+
+@query(f"SELECT doc_id, regexp_matches(substr({_MADE}, 1, 4096), '(?m)^// Code generated [^\\n]*DO NOT EDIT\\.$') AS generated FROM documents")
+def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are generated, when every third begins with the mark and every third has it too far down."""
+    d, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), "// Code generated by maker. DO NOT EDIT.\n"
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(mark), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("x" * 4090 + "\n" + mark), "text")).otherwise(F.col("text"))
+    return d.select("doc_id", S.is_generated(text).alias("generated"))
+
+
+@query("SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines and read again."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars", "text")
+    path = S.scratch_folder(spark)
+    S.write_jsonl(d, path)
+    return S.read_jsonl(spark, path, d.schema).select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+@query(f"SELECT 'train' AS \"set\", {len(X.LOCK['repos'])}::BIGINT AS repos, {sum(r['go_files'] for r in X.LOCK['repos'])}::BIGINT AS go_files")
+def lock_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories and files of a lockfile."""
+    path = f"{S.scratch_folder(spark)}/lock.json"
+    S.write_bytes(spark, path, json.dumps(X.LOCK, indent=1).encode())
+    return S.file_totals(S.locked_repos(S.read_lock(spark, path)))
+
+
+@query(f"SELECT 'tree' AS repo, 'Apache-2.0' AS license, '{hashlib.sha256(dict(X.TREE)['LICENSE']).hexdigest()}' AS license_sha256")
+def license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of a tree and the digest of its file's bytes."""
+    return S.find_license(S.license_files(spark, tree(spark), "tree"))
+
+
+# Training windows around the findings of documents and fixtures.
+_LINE = "length(split_part(substr(text, 1, {p}), chr(10), -1))"
+_FITS = 'm."end" - r.first <= 800'
+WINDOWS_SQL = (
+    f"{O.candidates(O.ALL)}, marks AS (SELECT DISTINCT repo, path, text, start, \"end\", entity, value FROM cand WHERE passes),"
+    " m AS (SELECT repo, path, start, \"end\", row_number() OVER (PARTITION BY repo, path ORDER BY start, \"end\") AS n FROM marks),"
+    " r AS (SELECT repo, path, n, start AS first, \"end\" AS last, 1 AS cluster FROM m WHERE n = 1"
+    f" UNION ALL SELECT m.repo, m.path, m.n, CASE WHEN {_FITS} THEN r.first ELSE m.start END, m.\"end\", r.cluster + CASE WHEN {_FITS} THEN 0 ELSE 1 END FROM r JOIN m ON m.repo = r.repo AND m.path = r.path AND m.n = r.n + 1),"
+    " c AS (SELECT repo, path, cluster, min(first) AS first, arg_max(last, n) AS last FROM r GROUP BY ALL),"
+    f" e AS (SELECT c.*, text, greatest(first - 300, 0) - {_LINE.format(p='greatest(first - 300, 0)')} AS lo, least(last + 300, length(text)) AS p FROM c JOIN {O.ALL} USING (repo, path)),"
+    " h AS (SELECT *, CASE WHEN contains(substr(text, p + 1), chr(10)) THEN p + position(chr(10) IN substr(text, p + 1)) ELSE length(text) END AS h FROM e),"
+    f" w AS (SELECT *, CASE WHEN h - lo > 1400 THEN lo + 1400 - {_LINE.format(p='lo + 1400')} ELSE h END AS hi FROM h),"
+    " inside AS (SELECT w.repo, w.path, lo, hi, w.text, count(*)::BIGINT AS n_spans, string_agg((start - lo) || '-' || (\"end\" - lo) || ':' || entity, ' ' ORDER BY start, \"end\", entity) AS spans"
+    " FROM w JOIN marks USING (repo, path) WHERE start >= lo AND \"end\" <= hi GROUP BY w.repo, w.path, w.cluster, lo, hi, w.text)"
+)
+
+
+def finding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = both(spark, sf_dir)
+    marks = D.candidates(files).where("passes").select(*KEYS, "start", "end", F.col("entity").alias("label"), F.col("value").alias("text")).distinct()
+    spans = marks.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "text"))).alias("spans"))
+    return W.training_windows(files.join(spans, list(KEYS)).select(*KEYS, "text", "spans", F.array().cast(inject.SPAN).alias("distractors")))
+
+
+@query(f"WITH RECURSIVE {WINDOWS_SQL} SELECT repo, path, md5(substr(text, lo + 1, hi - lo)) AS text_md5, n_spans, spans FROM inside")
+def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(":"), s["label"])), " ")
+    return finding_windows(spark, sf_dir).select(*KEYS, F.md5("text").alias("text_md5"), F.size("spans").cast("long").alias("n_spans"), told.alias("spans"))
+
+
+@query(f"WITH RECURSIVE {WINDOWS_SQL} SELECT sum(n_spans)::BIGINT AS spans, 0::BIGINT AS failures FROM inside")
+def bio_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of windows, and how many of them labelling and decoding do not bring back."""
+    key = (*KEYS, "window")
+    w = finding_windows(spark, sf_dir).withColumn("window", F.md5(F.concat("text", F.to_json("spans"))))
+    failed = W.round_trip_failures(w, key).agg(F.count("*").alias("failures"))
+    return w.agg(F.sum(F.size("spans")).alias("spans")).join(failed)  # two single rows

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -80,6 +82,33 @@ def _small_file(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder where the driver and all executors can write: below spark.checkpoint.dir, a temporary one where that is unset (local mode)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="sieveline-")
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df, written once and read back, for results that several parts of a plan use."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, by whichever file system the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(content)
+    finally:
+        stream.close()
+
+
 def read_tree(spark: SparkSession, root: str, repo: str, gitignore: str | None = None, pattern: str = "*.go", skip_generated: bool = True) -> DataFrame:
     """repo, path, text of a source tree: files below the size limit, outside skipped and ignored folders."""
     at = root.rstrip("/")
@@ -128,11 +157,21 @@ def locked_repos(lock: DataFrame) -> DataFrame:
 
 
 def find_license(files: DataFrame) -> DataFrame:
-    """repo, license and digest of each repository's licence file: the first by name. files: repo, path, text."""
+    """repo, license and digest of each repository's licence file: the first by name. files: repo, path, text, and content where the bytes are known.
+
+    The digest is that of the bytes, without which the text's own are taken.
+    """
     order = F.array_position(F.lit(list(V.LICENSE_FILENAMES)), F.col("path"))
     w = Window.partitionBy("repo").orderBy("order")
     first = files.withColumn("order", order).where("order > 0").withColumn("n", F.row_number().over(w)).where("n = 1")
-    return first.select("repo", P.license_of("text").alias("license"), F.sha2("text", 256).alias("license_sha256"))
+    return first.select("repo", P.license_of("text").alias("license"), F.sha2("content" if "content" in files.columns else "text", 256).alias("license_sha256"))
+
+
+def license_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
+    """repo, path, text and content of the files in a tree's root that may be its licence."""
+    at = root.rstrip("/")
+    files = spark.read.format("binaryFile").load(f"{at}/*").where(F.element_at(F.split("path", "/"), -1).isin(*V.LICENSE_FILENAMES))
+    return files.select(F.lit(repo).alias("repo"), F.element_at(F.split("path", "/"), -1).alias("path"), decoded(F.col("content")).alias("text"), "content")
 
 
 def accepted(repos: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
