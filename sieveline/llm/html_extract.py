@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 1. Each page is parsed leniently into a tree; its skeleton keeps labels, parents
-   and hashes of own texts.
+   and 64-bit hashes of own texts.
 2. Of a host's pages with text, one of the shape that the most different
    contents have is the host's reference (of as frequent ones, the shape whose
    size is nearest to the host's median).  Every page's tree is aligned with it by simple tree matching: the order-preserving
@@ -15,8 +15,14 @@
    for each different content (all texts outside of chrome), so copies of an
    article do not make it a template.  A place that fewer than ``LEAST_PAGES``
    different contents have tells nothing, so smaller hosts have no template.
+   A place where at least ``MENU_PAGES`` different contents share few texts, at most
+   ``MENU_TEXTS`` of their number, is filled from a list (menus, notices, adverts that take turns)
+   and template whatever its text, but only outside of the article or main part that a page has.
 4. Slots in menus, headers, footers, sidebars, notices, adverts, forms and
-   reader comments are dropped by their tags and class words.  All others are
+   reader comments are dropped: by their tags, or by class words, which only
+   mark a region beside the content: not one that holds most of the page's
+   slots together with its heading or article, nor, on a page without these, one that holds nearly all of
+   them in paragraphs.  A class that says what a page has or lacks (``no-comments``) marks nothing.  All other slots are
    the content; on a page with a main part, those in it and in articles.  On a
    page without either, single-word blocks beside the container that holds
    most of the text are labels and go.
@@ -51,11 +57,13 @@ BROADCAST = 64 << 20
 SHORT, WHOLE, MEMO, DEPTH = 24, 1 << 20, 1 << 19, 1_000_000
 #: A text is template if this share of at least so many different pages has it at a place.
 SHARE, LEAST_PAGES = 0.6, 5
+#: A place is filled from a list if so many different pages have at most this share of different texts there.
+MENU_PAGES, MENU_TEXTS = 10, 0.5
 
 # Element names of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow ms msub msup mtext nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video|select"
+RAW = "script|style|noscript|template|textarea|title|iframe|svg|object|canvas|audio|video|select"
 CHROME = frozenset("head nav footer aside form button dialog menu input option optgroup datalist".split())
 #: Words in class, id and role that mark chrome.
 CHROME_WORDS = frozenset(
@@ -64,6 +72,10 @@ CHROME_WORDS = frozenset(
     "newsletter subscribe subscription signup login search share sharing social comments comment commentlist reply replies respond disqus pagination pager toolbar copyright "
     "skip hidden".split()
 )
+#: Words of these that also name the head of an article: they mark nothing that has a heading.
+HEADS = frozenset("header masthead topbar".split())
+#: First words of classes that say what a page has, lacks or is.
+STATES = frozenset("no has have with without is not hide hides show shows".split())
 #: What an opening tag closes, if it is the innermost of these up to a barrier.
 CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -78,13 +90,31 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|d
 _WORD = re.compile(r"[a-z]+")
 
 
+#: What marks a node as chrome.
+NOT, BY_TAG, BY_WORD, BY_HEAD = range(4)
+
+
+def _word_mark(names: list[str]) -> int:
+    """What the classes, ids and roles of a node say."""
+    found = NOT
+    for name in names:
+        words = _WORD.findall(name)
+        if words and words[0] not in STATES:
+            hit = CHROME_WORDS.intersection(words)
+            if hit - HEADS:
+                return BY_WORD
+            if hit:
+                found = BY_HEAD
+    return found
+
+
 class Tree:
-    """label, parent and chrome flag of each node; items: (node, text) in page order, text None for a block's edge."""
+    """label, parent and chrome mark of each node; items: (node, text) in page order, text None for a block's edge."""
 
     def __init__(self, page: str):
         self.label: list[str] = ["#root"]
         self.parent: list[int] = [-1]
-        self.chrome: list[bool] = [False]
+        self.mark: list[int] = [NOT]
         self.items: list[tuple[int, str | None]] = []
         stack, at = [0], 0
         tags = ["#root"]
@@ -110,21 +140,24 @@ class Tree:
             self._close(stack, tags, tag)
             up = stack[-1]
             rest = m["rest"]
-            names, chrome = "", self.chrome[up] or tag in CHROME
+            names, mark = "", BY_WORD if tag == "form" else BY_TAG if tag in CHROME else NOT
             if rest:
+                found: list[str] = []
                 for n in _NAMES.finditer(rest):
                     words = (n[2] or n[3] or n[4] or "").lower()
                     names += " " + words
-                    chrome = chrome or any(w in CHROME_WORDS for w in _WORD.findall(words))
-                chrome = chrome or bool(_HIDDEN.search(rest))
+                    found += words.split()
+                mark = mark or _word_mark(found)
+                if _HIDDEN.search(rest):
+                    mark = BY_TAG
             if tag == "header" and not any(tags[k] in ("article", "main") for k in stack):
-                chrome = True
+                mark = BY_TAG
             if tag in ("body", "html"):
-                chrome = self.chrome[up]
+                mark = NOT
             self.label.append(tag + names)
             tags.append(tag)
             self.parent.append(up)
-            self.chrome.append(chrome)
+            self.mark.append(mark)
             if tag not in VOID and not rest.rstrip().endswith("/"):
                 stack.append(len(tags) - 1)
         if at < len(page):
@@ -155,15 +188,50 @@ class Tree:
         return out
 
     def skeleton(self) -> bytes:
-        """Parent, label and text hash of each node."""
+        """Parent, label, and both halves of the text's hash (0: no text) of each node."""
         n = len(self.label)
-        out = np.zeros((n, 3), np.uint32)
+        out = np.zeros((n, 4), np.uint32)
         out[:, 0] = np.array(self.parent, np.int64).astype(np.uint32)
         out[:, 1] = [crc32(x.encode()) for x in self.label]
         for node, t in self.own_texts().items():
-            out[node, 2] = crc32(t.encode()) | 1
+            h = _hash(t.encode()) | 1
+            out[node, 2:] = h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF
         return out.tobytes()
 
+    def inside_article(self) -> list[bool]:
+        """Which nodes lie in the article or main part; on a page without either, all."""
+        out = [t in ("article", "main") for t in self.tags]
+        if not any(out):
+            return [True] * len(out)
+        for i in range(1, len(out)):
+            out[i] = out[i] or out[self.parent[i]]
+        return out
+
+    def chrome(self, drop: set[int] = frozenset()) -> list[bool]:
+        """Which nodes lie in menus, sidebars and the like; drop: template texts, which weigh nothing."""
+        n, tags, parent = len(self.label), self.tags, self.parent
+        size = [0] * n
+        for node, t in self.items:
+            if t is not None and node not in drop:
+                size[node] += len(t.strip())
+        out = [False] * n
+        heads, titles, paragraphs = ([int(t in of) for t in tags] for of in (("h1", "article", "main"), ("h1", "h2", "h3"), ("p",)))
+        for i in range(1, n):
+            out[i] = out[parent[i]] or self.mark[i] == BY_TAG
+            if out[i]:
+                size[i] = heads[i] = titles[i] = paragraphs[i] = 0
+        for i in range(n - 1, 0, -1):
+            for v in (size, heads, titles, paragraphs):
+                v[parent[i]] += v[i]
+        for i in range(1, n):
+            mark = self.mark[i]
+            if out[i] or out[parent[i]]:
+                out[i] = True
+            elif mark == BY_WORD or (mark == BY_HEAD and not titles[i]):
+                most = 2 * size[i] >= size[0] and heads[i]
+                out[i] = not (most or (10 * size[i] >= 9 * size[0] and not heads[0] and paragraphs[i] > 1))
+        return out
+
 
 def _kids(s: np.ndarray) -> list[list[int]]:
     parent = s[:, 0].astype(np.int32).tolist()
@@ -328,7 +396,12 @@ def places(page: np.ndarray, ref: np.ndarray) -> list[int]:
 
 
 def _skeleton(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint32).reshape(-1, 3)
+    return np.frombuffer(b, np.uint32).reshape(-1, 4)
+
+
+def _texts(s: np.ndarray) -> np.ndarray:
+    """The text hash of each node of a skeleton, 0 where there is none."""
+    return (s[:, 2].astype(np.uint64) | s[:, 3].astype(np.uint64) << np.uint64(32)).view(np.int64)
 
 
 def content_root(tree: Tree, kept: list[bool]) -> tuple[set[int], set[int]]:
@@ -372,12 +445,13 @@ def extract(page: str | None, ref: bytes | None = None, template: set[tuple[int,
         return ""
     tree = Tree(page)
     n = len(tree.label)
-    kept = [not c for c in tree.chrome]
     drop: set[int] = set()
     if ref is not None and template:
         s = _skeleton(tree.skeleton())
         at = places(s, _skeleton(ref))
-        drop = {i for i, (r, h) in enumerate(zip(at, s[:, 2].tolist(), strict=True)) if h and (r, h) in template}
+        inside = tree.inside_article()
+        drop = {i for i, (r, h) in enumerate(zip(at, _texts(s).tolist(), strict=True)) if h and ((r, h) in template or (not inside[i] and (r, 0) in template))}
+    kept = [not c for c in tree.chrome(drop)]
     roots, labels = content_root(tree, kept)
     inside = [False] * n
     for i in range(n):
@@ -403,7 +477,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = Tree(t.as_py() or "")
             texts = tree.own_texts()
             if texts:
-                content = "\n".join(sorted(x for n, x in texts.items() if not tree.chrome[n]))
+                chrome = tree.chrome()
+                content = "\n".join(sorted(x for n, x in texts.items() if not chrome[n]))
                 s = tree.skeleton()
                 out.append((h, i, s, _hash(content.encode()), _hash(_skeleton(s)[:, :2].tobytes()), len(tree.label)))
         kinds = (b.schema.field(0).type, b.schema.field(1).type, pa.binary(), pa.int64(), pa.int64(), pa.int32())
@@ -422,11 +497,12 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, c, s, r in zip(*(x.to_pylist() for x in b.columns), strict=True):
             s = _skeleton(s)
             at = places(s, _skeleton(r))
-            hit = np.flatnonzero(s[:, 2] > 0)
+            texts = _texts(s)
+            hit = np.flatnonzero(texts)
             host += [h] * len(hit)
             content += [c] * len(hit)
             node += [at[i] for i in hit.tolist()]
-            text += s[hit, 2].tolist()
+            text += texts[hit].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(content, pa.int64()), pa.array(node, pa.int64()), pa.array(text, pa.int64())], ["host", "content", "node", "text"])
 
 
@@ -436,10 +512,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def _sized(df: DataFrame, column: str) -> DataFrame:
-    """The frame, marked for broadcast if its rows' known size is small."""
-    size = df.agg(F.sum(F.octet_length(column) + 64).alias("n")).first().n or 0
-    return F.broadcast(df) if size <= BROADCAST else df
+def _sized(df: DataFrame, *columns: str) -> DataFrame:
+    """The frame, marked for broadcast if its rows' known size is small. An array's element counts with 24 bytes."""
+    size = sum((F.coalesce(24 * F.size(c) if df.schema[c].dataType.typeName() == "array" else F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))
+    n = df.agg(F.sum(size).alias("n")).first().n or 0
+    return F.broadcast(df) if n <= BROADCAST else df
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -464,7 +541,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     at_node = slots.select("host", "node", "content").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
     same = slots.groupBy("host", "node", "text").agg(F.count("*").alias("same"))
     constant = same.join(at_node.where(F.col("pages") >= LEAST_PAGES), ["host", "node"]).where((F.col("same") >= LEAST_PAGES) & (F.col("same") >= SHARE * F.col("pages")))
+    texts = same.groupBy("host", "node").agg(F.count("*").alias("texts"))
+    lists = at_node.join(texts, ["host", "node"]).where((F.col("pages") >= MENU_PAGES) & (F.col("texts") <= MENU_TEXTS * F.col("pages")))
+    constant = constant.select("host", "node", "text").unionByName(lists.select("host", "node", F.lit(0).cast("long").alias("text")))  # 0: any text
     templates = constant.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("template"))
     known = written(refs.join(templates, "host"), "templates").withColumnRenamed("host", "of")
-    joined = source.join(_sized(known, "ref"), F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "ref", "template")
+    joined = source.join(_sized(known, "ref", "template"), F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "ref", "template")
     return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
