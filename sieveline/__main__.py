@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import detect as D
-from .operators import evaluate, gold, inject, metrics
+from .operators import evaluate, gold, inject, labelling, metrics
 from .operators import windows as W
 from .sources import files as S
 
@@ -63,11 +63,23 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def label(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Adds verdicts from a file; a person's session with the keyboard is not part of the engine."""
-    verdicts = S.read_jsonl(spark, a.verdicts, gold.GOLD)
-    known = S.read_jsonl(spark, a.gold, gold.GOLD) if Path(a.gold).exists() else verdicts.limit(0)
-    merged = gold.append_verdicts(known, verdicts).collect()  # as many rows as people have labelled
-    S.write_jsonl(spark.createDataFrame(merged, gold.GOLD), a.gold)
+    """Adds verdicts from a file or, without one, asks a person for those that are missing."""
+    known = S.read_jsonl(spark, a.gold, gold.GOLD).collect() if Path(a.gold).exists() else []  # as many rows as people have labelled
+    known = spark.createDataFrame(known, gold.GOLD)
+
+    def save(verdicts: DataFrame) -> None:
+        S.write_jsonl(gold.append_verdicts(known, verdicts), a.gold)
+
+    if a.verdicts:
+        save(S.read_jsonl(spark, a.verdicts, gold.GOLD))
+    else:
+        todo = S.read_jsonl(spark, a.candidates, gold.CANDIDATE).withColumn("shuffle", gold.order_key(7, *gold.KEY))
+        if a.prelabels:
+            todo = gold.with_prelabels(todo, S.read_jsonl(spark, a.prelabels, gold.PRELABEL).withColumn("seq", F.monotonically_increasing_id()))
+        todo = gold.unlabelled(todo, known, a.limit)
+        # What JSON leaves out is null.
+        as_rows = lambda done: [tuple(d.get(n) for n in gold.GOLD.names) for d in done]
+        labelling.session((r.asDict() for r in todo.orderBy("shuffle").toLocalIterator()), lambda done: save(spark.createDataFrame(as_rows(done), gold.GOLD)))
     gold.label_summary(S.read_jsonl(spark, a.gold, gold.GOLD)).show(1, False, True)
     return 0
 
@@ -147,7 +159,7 @@ def parser() -> argparse.ArgumentParser:
     gold_ = ("--gold", {"default": "data/gold"})
     command("scan", scan, ("path", {}), ("--json", {"action": "store_true"}), ("--raw", {"action": "store_true"}), ("--min-confidence", {"type": float, "default": 0.0}), ("--model", {}))
     command("sample", sample, root, set_, ("--budget", {"type": int, "default": 150}), ("--seed", {"type": int, "default": 7}), ("--out", {"default": "data/candidates"}))
-    command("label", label, gold_, ("verdicts", {}))
+    command("label", label, gold_, ("verdicts", {"nargs": "?"}), ("--candidates", {"default": "data/candidates"}), ("--prelabels", {}), ("--limit", {"type": int}))
     command("evaluate", evaluate_, root, set_, gold_)
     command("generate", generate, root, ("--set", {"default": "train"}), ("--target", {"type": int, "default": 30_000}), ("--seed", {"type": int, "default": 20260925}), ("--verify", {"type": int, "default": 500}), ("--out", {"default": "data/synth"}))
     command("train", train, ("--data", {"default": "data/synth"}), ("--epochs", {"type": int, "default": 30}), ("--out", {"default": "data/model"}), ("--history", {"default": "data/history.json"}))

@@ -17,6 +17,9 @@ GOLD = T.StructType(
     + [T.StructField(n, T.StringType()) for n in _TEXT]
     + [T.StructField(n, T.BooleanType()) for n in ("survives_suppression", "is_foil")]
 )
+#: What a person needs to see of a candidate, beside what gold keeps.
+CANDIDATE = T.StructType([*GOLD.fields, *(T.StructField(n, T.StringType()) for n in ("context", "value"))])
+PRELABEL = T.StructType([*(f for f in GOLD.fields if f.name in (*KEY, "label", "is_foil")), T.StructField("reason", T.StringType())])
 
 
 def stratum_of(detector: Column, survives: Column) -> Column:
@@ -88,8 +91,10 @@ def unlabelled(candidates: DataFrame, gold: DataFrame, limit: int | None = None)
 
 def with_prelabels(candidates: DataFrame, prelabels: DataFrame) -> DataFrame:
     """Adds label and reason of the last prelabel (column seq) of each candidate."""
-    last = prelabels.groupBy(*KEY).agg(F.max_by(F.struct("label", "reason"), "seq").alias("pre"))
-    return candidates.join(last, KEY, "left").withColumn("prelabel", F.col("pre.label")).withColumn("prelabel_reason", F.col("pre.reason")).drop("pre")
+    foil = F.col("is_foil") if "is_foil" in prelabels.columns else F.lit(False)
+    last = prelabels.groupBy(*KEY).agg(F.max_by(F.struct("label", "reason", F.coalesce(foil, F.lit(False)).alias("is_foil")), "seq").alias("pre"))
+    out = candidates.drop("is_foil").join(last, KEY, "left")
+    return out.withColumn("prelabel", F.col("pre.label")).withColumn("prelabel_reason", F.col("pre.reason")).withColumn("is_foil", F.coalesce("pre.is_foil", F.lit(False))).drop("pre")
 
 
 def append_verdicts(gold: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ one text at a time in Arrow batches; all else is columns and joins.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,16 +32,20 @@ def snap(text: Column, pos: Column, forward: bool) -> Column:
 
 def cut(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Start and end of overlapping windows that end behind a newline where there is one."""
-    if len(text) <= size:
-        return [(0, len(text))]
-    out, at = [], 0
-    while True:
-        end = min(at + size, len(text))
-        line = text.rfind("\n", at + 1, end) + 1 if end < len(text) else 0
-        out.append((at, line or end))
-        if out[-1][1] == len(text):
-            return out
-        at = max(at + 1, out[-1][1] - overlap)
+    ends = [m.end() for m in re.finditer("\n", text)]
+
+    def stop(start: int) -> int:
+        """The last line's end within reach, from the second character on."""
+        if start + size >= len(text):
+            return len(text)
+        below = bisect_right(ends, start + size)
+        return ends[below - 1] if below and ends[below - 1] >= start + 2 else start + size
+
+    windows = [(0, stop(0))]
+    while windows[-1][1] < len(text):
+        start = max(windows[-1][0] + 1, windows[-1][1] - overlap)
+        windows.append((start, stop(start)))
+    return windows
 
 
 def scan_windows(texts: DataFrame, keep: tuple[str, ...]) -> DataFrame:

@@ -61,3 +61,41 @@ def test_generate_train_and_score(spark, corpus, tmp_path, capsys):
     capsys.readouterr()
     main(["scan", str(corpus / "eval" / "beta"), "--model", str(tmp_path / "model"), "--json"], spark)
     assert all(r["detector"] == "model" for r in json.loads(capsys.readouterr().out))
+
+
+def test_labelling_session():
+    from sieveline.operators import labelling as L
+
+    text = "a\nkey := secret, secret // end\nb\nc"
+    context = "\n".join(f"{i:6} | {x}" for i, x in enumerate(text.split("\n"), 1))
+    row = {"repo": "r", "path": "p.go", "line": 2, "col": 16, "start": 17, "end": 23, "entity": "KEY", "detector": "d", "stratum": "d|kept", "survives_suppression": True, "line_sha256": "x", "span_len": 6, "context": context, "value": "secret"}
+    assert text[17:23] == "secret" and L.corrected(row, "secret") == (17, 23) and L.corrected(row, "key") == (2, 5) and L.corrected(row, "gone") == (None, None) and L.corrected(row, "") == (None, None)
+    typed = iter(["x", "t", "e", "9", "2", "s", "key", "u", "q", "t"])
+    told, saved, ticks = [], [], iter(range(100))
+    rows = iter([row | {"prelabel": "TRUE", "is_foil": True}, row, row, row, row, row])
+    got = L.session(rows, lambda done: saved.append(len(done)), lambda _: next(typed), told.append, lambda: next(ticks))
+    assert [r["label"] for r in got] == ["TRUE", "WRONG_ENTITY", "WRONG_SPAN", "UNSURE"] and saved == [4]
+    assert got[0]["is_foil"] and got[0]["notes"] == "proposed TRUE" and got[1]["corrected_entity"] == sorted(L.V.ENTITIES)[1] and (got[2]["corrected_start"], got[2]["corrected_end"]) == (2, 5)
+    assert all("value" not in r and "context" not in r and r["latency_ms"] == 1000 for r in got) and L.HELP in told
+    # Saved after every few, and at the end of the input or of the rows.
+    saved.clear()
+    L.session(iter([row] * 25), lambda done: saved.append(len(done)), lambda _: "f", told.append)
+    assert saved == [10, 20, 25]
+
+    def closed(_):
+        raise EOFError
+
+    assert L.session(iter([row]), lambda done: saved.append(len(done)), closed, told.append) == [] and saved[-1] == 0
+
+
+def test_label_by_hand(spark, corpus, tmp_path, capsys, monkeypatch):
+    from sieveline.operators.gold import GOLD
+
+    main(["sample", "--root", str(corpus), "--budget", "6", "--out", str(tmp_path / "cand")], spark)
+    typed = iter(["t", "f", "q", "u", "u", "u", "u", "u", "u"])
+    monkeypatch.setattr("builtins.input", lambda _: next(typed))
+    main(["label", "--candidates", str(tmp_path / "cand"), "--gold", str(tmp_path / "gold")], spark)
+    assert sorted(r.label for r in read_jsonl(spark, str(tmp_path / "gold"), GOLD).collect()) == ["FALSE", "TRUE"]
+    main(["label", "--candidates", str(tmp_path / "cand"), "--gold", str(tmp_path / "gold"), "--limit", "3"], spark)
+    stored = read_jsonl(spark, str(tmp_path / "gold"), GOLD).collect()
+    assert sorted(r.label for r in stored) == ["FALSE", "TRUE", "UNSURE", "UNSURE", "UNSURE"] and len({(r.path, r.start, r.detector, r.entity) for r in stored}) == 5
