@@ -112,6 +112,31 @@ def test_token_counts(spark, odd, none):
     assert count_tokens(none, path, new_path(spark, "test-cache")).count() == 0
 
 
+def test_token_counts_of_tokenizers_that_keep_white_space(spark, odd):
+    """A byte-level file sees white space, so texts are encoded whole and digests are those of the raw texts."""
+    from tokenizers import Tokenizer
+
+    from sieveline.llm.token_counts import drops_space
+
+    path, words = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    assert drops_space(open(words, "rb").read()) and not drops_space(open(path, "rb").read())
+    library = Tokenizer.from_file(path)
+    docs = odd.unionByName(spark.createDataFrame([doc(50, "a  b"), doc(51, "a b"), doc(52, " a b\n\n"), doc(53, "a <|endoftext|>b")], odd.schema))
+    got = {(r.doc_id, r.n_bytes, r.n_tokens) for r in count_tokens(docs, path, new_path(spark, "test-cache")).collect()}
+    assert got == {(r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()}
+
+
+def test_what_a_task_remembers_is_bounded(monkeypatch):
+    from sieveline.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "MEMO", 10)
+    r = token_counts.Recent()
+    assert [r.add(x) for x in (b"a", b"a", b"b")] == [True, False, True]
+    for i in range(100):
+        r.add(b"%d" % i)
+    assert len(r.now) + len(r.old) <= 10 and r.add(b"a")
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(0)
     f = toxicity.Field(np.array([1, 2, 3]), np.array([2.0, -1.0, 0.5]), -1.5, rng.normal(size=(2, 2)))
