@@ -55,23 +55,46 @@ def _unit(*cols):
     return (F.xxhash64(*cols) / F.lit(2.0**64)) + F.lit(0.5)
 
 
+#: What tells rows apart: repeated rows are numbered.
+ROW = ("doc_id", "group", "nth")
+#: Repeated rows that one task numbers at a time.
+CHUNK = 10_000
+
+
+def numbered(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, size, text_crc32, group (the text's digest, null for null) and number among equal rows.
+
+    Rows are counted first and the numbers made from the counts, so they do not depend on files and
+    partitions, and a row repeated very often is one row on its way.
+    """
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(
+        "doc_id", (F.octet_length(content) + 8).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("group"),
+    )
+    counted = rows.groupBy("doc_id", "size", "text_crc32", "group").agg(F.count("*").alias("n"))
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition("doc_id", "group", "chunk")
+    first = F.col("chunk") * CHUNK
+    nth = F.explode(F.sequence(first, F.least(first + CHUNK, F.col("n")) - 1))
+    return written(chunks.select("doc_id", "size", "text_crc32", "group", nth.alias("nth")), "shard-rows")
+
+
+def cut_edges(assigned: DataFrame) -> DataFrame:
+    """One row: the pairs of rows with equal texts (size and checksum), and how many of these pairs two shards cut."""
+    each = assigned.groupBy("size", "text_crc32", "shard").agg(F.count("*").cast("double").alias("n"))
+    groups = each.groupBy("size", "text_crc32").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return groups.agg((F.sum(F.col("all") * (F.col("all") - 1)) / 2).alias("edges"), (F.sum(F.col("all") * F.col("all") - F.col("same")) / 2).alias("cut"))
+
+
 def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: float = 0.25, text: str = "text", bucket_rows: int = 4000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row."""
     prepare(docs.sparkSession)
-    content = F.coalesce(F.col(text), F.lit(""))
-    rows = written(
-        docs.select(
-            "doc_id", (F.octet_length(content) + 8).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"),
-            F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("group"), F.monotonically_increasing_id().alias("row_id"),
-        ),
-        "shard-rows",
-    )
+    rows = numbered(docs, text)
     groups = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     groups = written(groups, "shard-groups")  # so that the join deals it anew and can split a hot group
-    start = F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(shards)).cast("int")
+    start = F.pmod(F.xxhash64(*ROW), F.lit(shards)).cast("int")
     rows = written(rows.join(groups, "group", "left").withColumn("shard", start), "shard-start")
 
-    linked = rows.where(F.col("members").isNotNull()).select("row_id", "group", "members", "shard")
+    linked = rows.where(F.col("members").isNotNull())
     alone = {r.shard: r.n for r in rows.where(F.col("members").isNull()).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     n = rows.count()
     capacity = math.ceil(n / shards) * (1 + slack)
@@ -87,16 +110,15 @@ def assign_shards(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: flo
             break
         shares = []
         for kind in (False, True):  # groups that fit go first
-            asked = {(i, j): k for (i, j, x), k in flows.items() if x == kind and i != j}
+            asked = {(i, j): k for (i, j, x), k in sorted(flows.items()) if x == kind and i != j}
             share = quotas(asked, sizes, capacity)
             for (i, j), k in asked.items():
                 sizes[i] -= round(k * share[i, j])
                 sizes[j] += round(k * share[i, j])
             shares.append(_table([share.get((i, j), 0.0) for i in range(shards) for j in range(shards)], F.col("shard") * shards + F.col("to")))
-        move = F.when(large, _unit("row_id", F.lit(turn)) <= shares[1]).otherwise(_unit("group", F.lit(turn)) <= shares[0])
+        move = F.when(large, _unit(*ROW, F.lit(turn)) <= shares[1]).otherwise(_unit("group", F.lit(turn)) <= shares[0])
         linked = wish.withColumn("shard", F.when((F.col("shard") != F.col("to")) & move, F.col("to")).otherwise(F.col("shard"))).drop("to")
-    linked = linked.select(F.col("row_id").alias("id"), F.col("shard").alias("moved"))
-    rows = rows.join(linked, F.col("row_id") == F.col("id"), "left").withColumn("shard", F.coalesce("moved", "shard")).drop("id", "moved")
+    rows = rows.where(F.col("members").isNull()).unionByName(linked)
     return settle(rows, n, shards, bucket_rows)
 
 
@@ -104,7 +126,7 @@ def settle(rows: DataFrame, n: int, shards: int, bucket_rows: int) -> DataFrame:
     """Exact sizes and gapless slots: rows over a shard's size go to the shards that lack some."""
     buckets = max(1, math.ceil(n / shards / bucket_rows))
     by_group = F.pmod(F.xxhash64("group"), F.lit(buckets))
-    by_row = F.pmod(F.xxhash64("row_id"), F.lit(buckets))
+    by_row = F.pmod(F.xxhash64(*ROW), F.lit(buckets))
     hot = F.col("members") > F.lit(bucket_rows)
     # Small linked groups first, parts of large ones next, documents without links last.
     bucket = F.when(F.col("members").isNull(), 2 * buckets + by_row).when(hot, buckets + by_row).otherwise(by_group)
@@ -124,7 +146,7 @@ def settle(rows: DataFrame, n: int, shards: int, bucket_rows: int) -> DataFrame:
             gaps.append((g, g - extra, s))
             g -= extra
     ranked = rows.join(before, ["shard", "bucket"]).withColumn(
-        "rank", F.col("before") + F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("group", "row_id")) - 1
+        "rank", F.col("before") + F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("group", "doc_id", "nth")) - 1
     )
     quota = _table([want[s] for s in range(shards)], F.col("shard"))
     moved = (_table(over, F.col("shard")) + F.col("rank") - quota).cast("long")
