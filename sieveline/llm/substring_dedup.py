@@ -173,8 +173,8 @@ def _covered(units: DataFrame, made: list[DataFrame], runs: tuple[int, ...] = RU
     rows = written(units.mapInArrow(_anchors(runs[0]), "doc_id long, key long, anchor long, window int, many int"), "anchors")
     # Written, here and below, so that a join deals it anew and can split hot anchors.
     twice = written(rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "recurring")
-    # A set, so that repeated rows are one.
-    lists = rows.join(twice, "anchor").groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "window", "many")).alias("runs"))
+    # A set, so that repeated rows are one. Merged at every size: the recurring anchors grow with the documents.
+    lists = rows.join(twice.hint("merge"), "anchor").groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "window", "many")).alias("runs"))
     passages = units.join(lists, ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
     passages = passages.mapInArrow(_passages, "doc_id long, key long, anchor long, window int, many int, words binary")
     passages = written(passages.withColumn("content", F.xxhash64("words")), "passages")
