@@ -9,10 +9,10 @@ ones), or in all of them, at least 80 % equal the document's.  The masks find ev
 among any four substitutions in 20 words one of them still fits.
 
 Items of 8 to 11 words may differ in one word, items of 5 to 7 in none; items
-with fewer than five words identify nothing and are left out.
+with fewer than five words identify nothing and are left out: no document is contaminated by them.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK`` bytes of text,
-each met with all documents in one pass.  Within a task a bit table and sorted
+each met with all documents in one pass, one behind the other.  Within a task a bit table and sorted
 hashes serve as the join; no document is sent anywhere.
 
 Defined cases: null or empty texts are clean; rows with null item_id or text are
@@ -133,15 +133,33 @@ class Index:
         return out
 
 
+def _n_blocks(benchmark: DataFrame) -> int:
+    size = _items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return math.ceil(2 * size / BLOCK) if size > BLOCK else 1
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(2 * size / BLOCK) if size > BLOCK else 1
+    """The benchmark's blocks one behind the other: the driver holds one at a time."""
+    n = _n_blocks(benchmark)
     for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").toArrow()
+        part = _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").toArrow()
         yield Index.of(part.column("item_id").to_pylist(), part.column("text").to_pylist())
 
 
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """row, item_ids, equal_words of the contaminated rows over all blocks, one or more rows each; docs: row and text, written."""
+    found = None
+    for index in _blocks(benchmark):
+        part = docs.mapInArrow(_match(index), "row long, item_ids array<bigint>, equal_words int").where(F.size("item_ids") > 0)
+        part = written(part, "contaminated")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def _match(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,20 +179,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """Per row: doc_id, whether it is contaminated, the items and the most equal words in a window."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = list(_blocks(benchmark))
-    if len(blocks) == 1:
-        out = docs.select("doc_id", text).mapInArrow(_match(blocks[0]), f"doc_id {kind}, item_ids array<bigint>, equal_words int")
+    if _n_blocks(benchmark) == 1:
+        out = docs.select("doc_id", text).mapInArrow(_match(next(_blocks(benchmark))), f"doc_id {kind}, item_ids array<bigint>, equal_words int")
     else:
-        # Results of the passes are put together by row; the row's number is stable because the rows are written first.
+        # The row's number is stable because the rows are written first; only contaminated rows are gathered.
         rows = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")), "to-match")
-        schema = f"doc_id {kind}, row long, item_ids array<bigint>, equal_words int"
-        parts = [rows.mapInArrow(_match(b), schema) for b in blocks]
-        all_rows = parts[0]
-        for p in parts[1:]:
-            all_rows = all_rows.unionByName(p)
-        out = all_rows.groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("equal_words").alias("equal_words")
-        ).drop("row")
+        hits = _hits(rows.select("row", "text"), benchmark).groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("equal_words").alias("equal_words"))
+        out = rows.select("doc_id", "row").join(hits, "row", "left")
+        out = out.select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("equal_words", F.lit(0)).alias("equal_words"))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "equal_words")
 
 
@@ -191,6 +203,8 @@ def _clean(index: Index, text: str):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The clean rows of docs, all columns."""
     prepare(docs.sparkSession)
-    for index in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(index, text), docs.schema)
-    return docs
+    if _n_blocks(benchmark) == 1:
+        return docs.mapInArrow(_clean(next(_blocks(benchmark)), text), docs.schema)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "to-match")
+    hits = _hits(rows.select(F.col("__row").alias("row"), F.col(text).alias("text")), benchmark).select("row").distinct()
+    return rows.join(hits, F.col("__row") == F.col("row"), "left_anti").drop("__row")

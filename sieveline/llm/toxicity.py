@@ -18,7 +18,8 @@ of the words).
 The field is fitted on the driver to a bounded sample of labelled rows:
 ``sample`` (6,000 unless told otherwise; of at most ``most_words`` words
 together), half of them toxic where there are so many, with the smallest hashes
-of doc_id.  Everything else covers all rows.
+of doc_id.  From these, at most ``most_weights`` words and as many prefixes get weights
+and at most ``most_windows`` windows are fitted to.  Everything else covers all rows.
 
 Defined cases: null counts as empty, and empty texts get a score like others;
 a null doc_id is not held out and never a training row; repeated labels of a
@@ -152,7 +153,7 @@ def _distinct(k: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.unique(mix(k.astype(U) * U(0x9E3779B97F4A7C15) ^ mix(v)), return_index=True)[1]
 
 
-def lexicon(h: np.ndarray, near: np.ndarray, off: np.ndarray, toxic: np.ndarray, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def lexicon(h: np.ndarray, near: np.ndarray, off: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that get a weight of their own, and which of them tag tokens in toxic documents. near: hashes of each word with its neighbours."""
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     words, k = np.unique(h, return_inverse=True)
@@ -187,15 +188,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return theta
 
 
-def fit_field(h: np.ndarray, off: np.ndarray, toxic: np.ndarray, steps: int = 80) -> Field:
-    """Gradient ascent (Adam) on the likelihood of tagged windows; then the logistic function of documents."""
+def fit_field(h: np.ndarray, off: np.ndarray, toxic: np.ndarray, steps: int = 80, most_weights: int = 4_000, most_windows: int = 20_000) -> Field:
+    """Gradient ascent (Adam) on the likelihood of tagged windows; then the logistic function of documents.
+
+    most_weights: words, and as many prefixes, that get a weight of their own; most_windows: windows that are fitted to, half of them around tagged words.
+    """
     out = Field()
     share = toxic.mean() if len(toxic) else 0.0
     if share in (0.0, 1.0):
         out.doc = np.array([30.0 if share else -30.0, 0, 0, 0, 0])
         return out
     near = rolled(np.concatenate([[0], h[:, 0], [0]]).view(U), 3)
-    found = [lexicon(h[:, i], near, off, toxic) for i in (0, 1)]
+    found = [lexicon(h[:, i], near, off, toxic, most_weights) for i in (0, 1)]
     words, bad = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(words)
     out.words, bad = words[order], bad[order]
@@ -204,7 +208,7 @@ def fit_field(h: np.ndarray, off: np.ndarray, toxic: np.ndarray, steps: int = 80
     tag = np.append(bad, False)[k].any(axis=1) & (toxic[doc] > 0)
     rng = np.random.default_rng(7)
     tagged, known = np.flatnonzero(tag), np.flatnonzero((k >= 0).any(axis=1) & ~tag)
-    mid = np.concatenate([rng.permutation(tagged)[:10_000], rng.permutation(known)[:5_000], rng.integers(0, len(h), min(len(h), 5_000))]) if len(h) else np.zeros(0, np.int64)
+    mid = np.concatenate([rng.permutation(tagged)[: most_windows // 2], rng.permutation(known)[: most_windows // 4], rng.integers(0, len(h), min(len(h), most_windows // 4))]) if len(h) else np.zeros(0, np.int64)
     if len(mid) and len(out.words):
         place = mid[:, None] + np.arange(-HALF, HALF + 1)
         inside = (place >= off[doc[mid]][:, None]) & (place < off[doc[mid] + 1][:, None])
@@ -260,8 +264,8 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "y", "h"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, text: str = "text", most_words: int = 3_000_000) -> Field:
-    """A field from the sampled rows, in the order of their hashes each that still fits into ``most_words`` words together."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, text: str = "text", most_words: int = 3_000_000, **bounds: int) -> Field:
+    """A field from the sampled rows, in the order of their hashes each that still fits into ``most_words`` words together. bounds: of ``fit_field``."""
     known = labelled(labels, "toxic", 5, 0)
     half = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
     chosen = half[0].union(half[1])
@@ -279,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, text: str = "
     got = got.sort_by("id")
     h = got.column("h").combine_chunks()
     h = h.chunk(0) if isinstance(h, pa.ChunkedArray) else h
-    return fit_field(h.flatten().to_numpy().reshape(-1, 2), np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy() // 2)]).astype(np.int64), got.column("y").to_numpy().astype(float))
+    return fit_field(h.flatten().to_numpy().reshape(-1, 2), np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy() // 2)]).astype(np.int64), got.column("y").to_numpy().astype(float), **bounds)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6_000, threshold: float = 0.5, text: str = "text") -> DataFrame:
