@@ -672,6 +672,14 @@ def license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.find_license(S.license_files(spark, tree(spark), "tree"))
 
 
+@query(
+    f"WITH {O.candidates(O.ALL)} SELECT to_json({{'entity': entity, 'masked': {O.mask('entity', 'value')}, 'path': path, 'line': line, 'column': col, 'detector': detector, 'confidence': round(confidence, 2)}})::VARCHAR AS json FROM ({DEDUPED})"
+)
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a scan as JSON: masks only."""
+    return D.report_json(D.scan(both(spark, sf_dir)))
+
+
 # Training windows around the findings of documents and fixtures.
 _LINE = "length(split_part(substr(text, 1, {p}), chr(10), -1))"
 _FITS = 'm."end" - r.first <= 800'
