@@ -16,7 +16,8 @@
    components compare the classes outside their largest component with all
    others, in blocks of ``BLOCK`` classes and without giving the pairs out.  A class goes to at most
    ``BLOCKS`` blocks: a bucket with more is dealt anew by bands of twice as many rows,
-   which classes that merely share a phrase do not share, up to ``MOST_ROWS`` rows.  So no link between
+   which classes that merely share a phrase do not share, up to ``MOST_ROWS`` rows; two classes that
+   share such a band alone are compared as a pair.  So no link between
    different components is lost and a group of copies never gives all its pairs.
 
 Defined cases: ASCII letters are lower-cased; a text with fewer words than a
@@ -227,13 +228,13 @@ def _prune(least: list[int], percent: int):
 def _cross(least: list[int], percent: int):
     """Pairs of different components between the queries and the targets of a block, by signatures and then by 32-bit hashes.
 
-    A few hashes may collide, so pairs just below the threshold pass too; they are confirmed on the texts.
+    As many hashes may be missing from an intersection as collide in the query's set, so pairs just below the threshold pass too; they are confirmed on the full sets.
     """
 
     def alike(q: np.ndarray, n: int, sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         flat = np.concatenate(sets)
         at = np.minimum(np.searchsorted(q, flat), len(q) - 1)
-        both = np.add.reduceat(q[at] == flat, np.cumsum([0] + [len(x) for x in sets[:-1]])) + 2
+        both = np.add.reduceat(q[at] == flat, np.cumsum([0] + [len(x) for x in sets[:-1]])) + (n - len(q))
         return 100 * both >= percent * (n + sizes - both)
 
     def block(rows: list[tuple]) -> tuple[list[int], list[int]]:
@@ -305,6 +306,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(joined.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """The pairs (one, other) that may be links by their signatures."""
+    a, b = (sets.select(*(F.col(x).alias(f"{x}{i}") for x in ("cid", "sig", "n"))) for i in "ab")
+    joined = pairs.join(a, F.col("one") == F.col("cida")).join(b, F.col("other") == F.col("cidb"))
+    return joined.select("one", "other", "siga", "na", "sigb", "nb").mapInArrow(_prune(least, percent), "one long, other long")
+
+
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     """Each pair (one, other) once, whichever way round."""
     once = pairs.groupBy(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).agg(F.min("one").alias("one"))
@@ -317,20 +325,24 @@ def _cross_pairs(members: DataFrame, keys: DataFrame, sets: DataFrame, label: Da
     while True:
         m = members.join(label, F.col("cid") == F.col("v"), "left").select("bucket", "cid", F.coalesce("c", "cid").alias("c"))
         parts = m.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("parts")).where("parts > 1 and m > 2")
+        parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("parts")).where("parts > 1")
         parts = written(parts.select("bucket", F.col("top.c").alias("main"), "m", F.col("top.n").alias("top")), "parts")
         mixed = written(m.join(parts, "bucket"), "mixed")
         large = F.col("m") > BLOCK * BLOCKS
         last = rows == MOST_ROWS
         near = mixed if last else mixed.where(~large)
-        near = near.withColumn("queries", F.ceil((F.col("m") - F.col("top")) / BLOCK)).withColumn("targets", F.ceil(F.col("m") / BLOCK))
+        # Two classes alone have no need of blocks; on the first level their bucket's central class was one of them.
+        two = near.where("m = 2").groupBy("bucket").agg(F.min("cid").alias("one"), F.max("cid").alias("other"))
+        two = _alike(two.select("one", "other").distinct(), sets, least, percent)
+        near = near.where("m > 2").withColumn("queries", F.ceil((F.col("m") - F.col("top")) / BLOCK)).withColumn("targets", F.ceil(F.col("m") / BLOCK))
         place = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
         asked = near.where("c <> main").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("targets") - 1))).withColumn("q", place("queries")).withColumn("query", F.lit(1))
         seen = near.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("queries") - 1))).withColumn("t", place("targets")).withColumn("query", F.lit(0))
         blocks = asked.unionByName(seen).select("bucket", (F.col("q") * F.col("targets") + F.col("t")).alias("block"), "query", "cid", "c").join(sets, "cid").join(keys, "cid")
         blocks = blocks.select("bucket", "block", "query", "cid", "c", "sig", "n", "keys", "hashes")
         blocks = blocks.mapInArrow(_shortened, blocks.schema).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-        more = written(blocks.mapInArrow(_cross(least, percent), "one long, other long").distinct(), "cross-pairs")
+        more = blocks.mapInArrow(_cross(least, percent), "one long, other long")
+        more = written((more if rows == ROWS else more.unionByName(two)).distinct(), "cross-pairs")
         if not more.isEmpty():
             sure = _confirmed(more, sets, percent)
             if not sure.isEmpty():
@@ -378,10 +390,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     sets = source.where(F.col("doc_id").isNotNull()).join(chosen.hint("merge"), ["doc_id", "h"]).select("cid", "k1", "k2", "text").mapInArrow(_second(k), "cid long, n long, sig binary, hashes binary")
     stored = written(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     sets = _one_each(stored)
-    sigs = sets.select("cid", "sig", "n")
-    a, b = (sigs.select(*(F.col(x).alias(f"{x}{i}") for x in ("cid", "sig", "n"))) for i in "ab")
-    joined = pairs.join(a, F.col("one") == F.col("cida")).join(b, F.col("other") == F.col("cidb"))
-    pairs = written(joined.select("one", "other", "siga", "na", "sigb", "nb").mapInArrow(_prune(least, percent), "one long, other long"), "pairs")
+    pairs = written(_alike(pairs, sets, least, percent), "pairs")
     links = _confirmed(pairs, sets, percent)
     # A document with several texts links their classes.
     several = filled.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in same for f in (F.min, F.max)]).where(" or ".join(f"min_{c} <> max_{c}" for c in same))

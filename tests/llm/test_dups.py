@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sieveline.llm import decontaminate, html_extract, minhash, quality_gbt, sharding, substring_dedup
@@ -105,6 +106,27 @@ def test_classes_that_share_a_phrase(spark, odd, monkeypatch, block, blocks):
     assert {r.doc_id: r.component_id for r in out} == want and want[3] == want[5] == 2
 
 
+@pytest.mark.parametrize(("block", "blocks"), [(3, 1), (500, 32)])
+def test_links_of_two_classes_on_deeper_levels(spark, odd, monkeypatch, block, blocks):
+    """Pairs within a family of classes just below the threshold: of the bands of more rows, many are shared by the two alone."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCKS", blocks)
+    family = [f"same{i}" for i in range(400)]
+    data = [doc(2 * g + c, " ".join(family + [f"o{g}_{i}" for i in range(20)] + [f"o{g}_{c}_{i}" for i in range(30)])) for g in range(60) for c in range(2)]
+    want = near([(d[0], d[1]) for d in data], 3, 85)
+    out = minhash.near_duplicates(spark.createDataFrame(data, odd.schema), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in out} == want == {i: i // 2 * 2 for i in range(120)}
+
+
+def test_hashes_that_collide_in_blocks():
+    """Equal sets of ten shingles that share five values of 32 bits: of the intersection, half is counted."""
+    hashes = (np.arange(10, dtype=np.uint64) % np.uint64(5) << np.uint64(32)) + np.arange(10, dtype=np.uint64)
+    rows = [{"bucket": 7, "block": 0, "query": q, "cid": c, "c": c, "sig": bytes(minhash.VALUES), "n": 10, "keys": np.int64(7).tobytes(), "hashes": np.sort(hashes).tobytes()} for q, c in ((1, 1), (0, 2))]
+    short = minhash._shortened(iter([pa.RecordBatch.from_pylist(rows)]))
+    found = [r for b in minhash._cross(minhash.least_matches(0.85, 1e-6, minhash.VALUES), 85)(short) for r in b.to_pylist()]
+    assert found == [{"one": 1, "other": 2}]
+
+
 def test_pruning_keeps_what_may_be_similar():
     least = minhash.least_matches(0.85, 1e-6, 256)
     assert least[256] < 0.8 * 256 and all(a <= b for a, b in zip(least, least[1:]))
