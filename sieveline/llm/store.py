@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .local_files import local_files
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else the context's checkpoint folder, else a new temporary one (local mode, as in tests)."""
@@ -25,11 +27,10 @@ def prepare(spark: SparkSession, size: int = 4 << 20) -> None:
 
     Arrow batches hold some MB at most (Spark's own bound is far higher), so that texts of any length leave room in an executor.
     Folders named by file: are written without a checksum file and without the `chmod` process that Hadoop, where its
-    native library is missing, starts for each new file: such a process is a clone of the executor's JVM for a moment.
-    Other file systems are not concerned.
+    native library is missing, starts for each new folder and file (see local_files). Other file systems are not concerned.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-    spark.conf.set("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+    spark.conf.set("fs.file.impl", local_files(spark))
     spark.conf.set("fs.file.impl.disable.cache", "true")
 
 
