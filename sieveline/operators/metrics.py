@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +29,27 @@ def overlap_matches(pred: DataFrame, gold: DataFrame, key: tuple[str, ...]) -> D
     The order decides, so a window's spans (a few) are matched together.
     """
     both = pred.select(*key, "label", "start", "end", F.lit(0).alias("side")).unionByName(gold.select(*key, "label", "start", "end", F.lit(1).alias("side")))
-
-    def match(df: pd.DataFrame) -> pd.DataFrame:
-        df = df[df.label.isin(V.ENTITIES)].sort_values(["start", "end"], kind="stable")
-        gold_, used, out = df[df.side == 1].to_dict("records"), set(), []
-        for p in df[df.side == 0].to_dict("records"):
-            hit = next((i for i, g in enumerate(gold_) if i not in used and g["label"] == p["label"] and p["end"] > g["start"] and p["start"] < g["end"]), None)
-            used |= {hit} - {None}
-            out.append((p["label"], int(hit is not None), int(hit is None), 0))
-        out += [(g["label"], 0, 0, 1) for i, g in enumerate(gold_) if i not in used]
-        return pd.DataFrame(out, columns=["label", "tp", "fp", "fn"])
-
-    return both.groupBy(*key).applyInPandas(match, "label string, tp long, fp long, fn long").groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    both = both.where(F.col("label").isin(*V.ENTITIES)).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "side"))).alias("all"))
+
+    def match(spans: list[dict], counts: dict[str, list[int]]) -> None:
+        free = [g for g in spans if g["side"]]
+        for p in spans:
+            if not p["side"]:
+                hit = next((i for i, g in enumerate(free) if g["label"] == p["label"] and p["end"] > g["start"] and p["start"] < g["end"]), None)
+                counts[p["label"]][hit is None] += 1
+                if hit is not None:
+                    del free[hit]
+        for g in free:
+            counts[g["label"]][2] += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = defaultdict(lambda: [0, 0, 0])
+            for spans in b.column(0).to_pylist():
+                match(spans, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(3)]], ["label", "tp", "fp", "fn"])
+
+    return both.select("all").mapInArrow(run, "label string, tp long, fp long, fn long").groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 def scores(matches: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from sieveline.operators import metrics
 from sieveline.operators import windows as W
 from sieveline.plans import queries as Q
 
@@ -50,3 +51,10 @@ def test_verified_and_matched_windows_need_no_token_outside_of_them(spark):
     assert sorted(map(str, W.decode(labels, Q.KEYS, held).collect())) == sorted(map(str, W.decode(every, Q.KEYS, Q.windows_docs(spark, DATA)[0]).collect()))
     assert Q.verified(spans, every).first() == Q.bio_verify_docs(spark, DATA).first()
     assert labels.count() < every.count() / 20
+
+
+def test_overlaps_are_matched_without_a_data_frame_for_each_text(spark):
+    rows = [(i, 0, 5, "KEY") for i in range(50)] + [(i, 3, 9, "KEY") for i in range(50)]
+    gold = spark.createDataFrame(rows, "id long, start int, end int, label string")
+    over = metrics.overlap_matches(gold.withColumn("end", F.col("end") + 1), gold.where("start = 3"), ("id",))
+    assert [tuple(r) for r in over.collect()] == [("KEY", 50, 50, 0)] and "FlatMapGroupsInPandas" not in plan(over)
