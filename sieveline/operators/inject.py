@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .generate import Draws, Value, generate
-from .golang import find_sites
+from .golang import find_places
 from .windows import training_windows
 
 INJECTABLE = ("string", "raw_string", "comment")
@@ -20,11 +20,11 @@ EXAMPLE = f"repo string, path string, text string, spans {SPAN}, distractors {SP
 
 def places(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the sites that values can be put into."""
-    return [(s["start"], s["end"], s["kind"]) for s in find_sites(text) if s["kind"] in INJECTABLE]
+    return [p for p in find_places(text) if p[2] in INJECTABLE]
 
 
 def inject(repo: str, path: str, text: str, seed: object, split: str, most: int = 4, negative_rate: float = 0.4, sites: list[tuple[int, int, str]] | None = None) -> dict | None:
-    """One file with up to ``most`` sites replaced; None if nothing fits. sites: those of the text, if known."""
+    """One file with up to ``most`` sites replaced; None if nothing fits, which no file with a string meets. sites: those of the text, if known."""
     d = Draws(seed, repo, path)
     free = d.shuffled(places(text) if sites is None else sites)
     chosen: list[tuple[int, int, str, Value]] = []
@@ -37,7 +37,12 @@ def inject(repo: str, path: str, text: str, seed: object, split: str, most: int
         if value:
             chosen.append((lo, hi, kind, value))
     if not chosen:
-        return None
+        # A string takes most kinds of values, so going on ends soon: files with strings always give an example.
+        first = next((p for p in free if p[2] == "string"), None)
+        if not first:
+            return None
+        value = next(v for v in iter(lambda: generate(d, split, negative_rate), None) if "string" in v.kinds)
+        chosen.append((*first, value))
     pieces, at, size, marks = [], 0, 0, []
     for lo, hi, kind, v in sorted(chosen, key=lambda c: c[0]):
         lead = "// " if kind == "comment" else ""
@@ -90,10 +95,10 @@ def inject_files(files: DataFrame, split: str, seed: int = 20260925, first: int
 
 
 def broken_examples(examples: DataFrame) -> DataFrame:
-    """Spans that are out of range, do not hold their value, or overlap the next: should be none."""
-    s = examples.select("repo", "path", F.col("text").alias("all"), F.explode(F.concat("spans", "distractors")).alias("s")).select("repo", "path", "all", "s.*")
-    w = Window.partitionBy("repo", "path", "all").orderBy("start", "end")
-    s = s.withColumn("next", F.lead("start").over(w))
+    """Spans that are out of range, do not hold their value, or overlap the next of their example: should be none."""
+    e = examples.select("repo", "path", F.col("text").alias("all"), F.array_sort(F.concat("spans", "distractors")).alias("marks"))
+    e = e.select("*", F.posexplode("marks").alias("i", "s")).withColumn("next", F.get("marks", F.col("i") + 1)["start"])
+    s = e.select("repo", "path", "all", "next", "s.*")
     held = F.substring("all", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")
     return s.where((F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.length("all")) | ~held | (F.col("next") < F.col("end"))).drop("all", "next")
 
