@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,14 +136,21 @@ def wilson(k: Column | str, n: Column | str, z: float = 1.96) -> tuple[Column, C
 
 def license_of(text: Column | str) -> Column:
     """Licence id by its phrases, null if none fits."""
-    t = F.lower(F.trim(F.regexp_replace(col(text), "\\s+", " ")))
-    out = F
-    for name, phrases in V.LICENSES:
-        test = F.lit(True)
-        for p in phrases:
-            test = test & t.contains(p)
-        out = out.when(test, F.lit(name))
-    return out
+
+    def first(t: Column) -> Column:
+        out = F
+        for name, phrases in V.LICENSES:
+            test = F.lit(True)
+            for p in phrases:
+                test = test & t.contains(p)
+            out = out.when(test, F.lit(name))
+        return out
+
+    # Each step is bound, so that it is done once and not for each phrase; white space is evened only in texts with a word of some licence.
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    words = sorted({max(phrases[0].split(), key=len) for _, phrases in V.LICENSES})
+    named = lambda t: reduce(lambda a, b: a | b, [t.contains(w) for w in words])
+    return bound(F.lower(col(text)), lambda t: F.when(named(t), bound(F.trim(F.regexp_replace(t, "\\s+", " ")), first)))
 
 
 def mask(entity: Column | str, value: Column | str) -> Column:
