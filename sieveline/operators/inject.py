@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
 from .generate import Draws, Value, generate
 from .golang import find_places
 from .windows import training_windows
@@ -75,6 +77,11 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], list(names))
 
 
+def may_have_sites(text: Column) -> Column:
+    """Whether a text has a character that a site begins with: others need not be read in Python."""
+    return text.contains('"') | text.contains("`") | text.contains("//") | text.contains("/*")
+
+
 def inject_files(files: DataFrame, split: str, seed: int = 20260925, first: int = 0, passes: int = 1) -> DataFrame:
     """Examples from files, only those that hold what was put into them. Each pass over the files, counted from ``first``, draws anew."""
 
@@ -91,7 +98,7 @@ def inject_files(files: DataFrame, split: str, seed: int = 20260925, first: int
                         out = []
             yield _batch(out)
 
-    return files.select("repo", "path", "text").mapInArrow(run, EXAMPLE)
+    return files.select("repo", "path", "text").where(may_have_sites(F.col("text"))).mapInArrow(run, EXAMPLE)
 
 
 def broken_examples(examples: DataFrame) -> DataFrame:
@@ -109,8 +116,7 @@ def split_files(files: DataFrame, seed: int = 20260925, val_fraction: float = 0.
     Ranks are counted in 256 ranges of the hash and the ranges' running totals,
     so no task sorts all files.
     """
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), "repo", "path"))
-    f = files.select("repo", "path", h.alias("h")).withColumn("range", F.substring("h", 1, 2))
+    f = files.select("repo", "path", _file_hash(seed).alias("h")).withColumn("range", F.substring("h", 1, 2))
     totals = f.groupBy("range").agg(F.count("*").alias("n"))
     all_ranges = Window.partitionBy(F.lit(0)).orderBy("range")
     totals = totals.withColumn("before", F.sum("n").over(all_ranges.rowsBetween(Window.unboundedPreceding, -1))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
@@ -119,32 +125,77 @@ def split_files(files: DataFrame, seed: int = 20260925, val_fraction: float = 0.
     return f.select("repo", "path", F.when(rank <= F.floor(F.col("total") * F.lit(1 - val_fraction)), "train").otherwise("val").alias("split"))
 
 
+def last_train(files: DataFrame, seed: int, val_fraction: float) -> tuple[str, str | None, str | None] | None:
+    """Hash, repo and path of the last file for training, as ``split_files`` deals them; None if there is none.
+
+    Files are counted in 65,536 ranges of the hash, and only those of one range are put in order.
+    """
+    f = files.select(_file_hash(seed).alias("h"), "repo", "path")
+    counts = sorted(f.groupBy(F.substring("h", 1, 4).alias("range")).count().collect())  # 65,536 rows at most
+    left = math.floor(sum(n for _, n in counts) * (1 - val_fraction))
+    for at, n in counts:
+        if 0 < left <= n:
+            return tuple(f.where(F.substring("h", 1, 4) == at).orderBy("h", "repo", "path").limit(left).collect()[-1])
+        left -= n
+    return None
+
+
+def _file_hash(seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), "repo", "path"))
+
+
+def _lowest(w: DataFrame, n: int) -> DataFrame:
+    """The n rows that are lowest by the column order, a hash. Whole ranges of it are kept as they are, and only the rest of one is sorted."""
+    counts = sorted(w.groupBy(F.substring("order", 1, 3).alias("range")).count().collect())  # 4,096 rows at most
+    below, edge = 0, None
+    for at, k in counts:
+        if below + k > n:
+            edge = at
+            break
+        below += k
+    if edge is None:
+        return w
+    of = F.substring("order", 1, 3)
+    return w.where(of < edge).unionByName(w.where(of == edge).orderBy("order").limit(n - below))
+
+
 def build(files: DataFrame, target: int = 30_000, seed: int = 20260925, val_fraction: float = 0.1) -> DataFrame:
     """split and windows of a dataset: ``target`` training windows and a share of that for validation.
 
     Validation draws from the held-out vocabulary. Passes over the files go on,
     twice as many each time, until the quota is met; a corpus of which no pass
-    gives a window has an empty part.
+    gives a window has an empty part. Files with sites are written once, without the others, and so are the windows of each pass.
     """
-    parts = files.join(split_files(files, seed, val_fraction), ["repo", "path"])
+    files = files.select("repo", "path", "text")
+    last = last_train(files, seed, val_fraction)
+    place = F.struct(_file_hash(seed).alias("h"), "repo", "path")
+    train = place <= F.struct(*[F.lit(x).cast("string").alias(c) for c, x in zip(("h", "repo", "path"), last, strict=True)]) if last else F.lit(False)
+    parts = stored(files.where(may_have_sites(F.col("text"))).withColumn("train", train))
     out = None
     for split, vocab, quota, s in (("train", "train", target, seed), ("val", "eval", max(1, int(target * val_fraction)), seed + 1)):
-        part, w = parts.where(F.col("split") == split), None
+        part, w = parts.where("train" if split == "train" else "not train"), None
+        order = F.md5(F.concat_ws("|", F.lit(str(s)), "repo", "path", "text"))
         passes, have, first = 1, 0, 0
         while have < quota:
-            more = training_windows(inject_files(part, vocab, s, first, passes)).withColumn("pass", F.lit(first))
-            n = more.limit(quota - have).count()
+            more = stored(training_windows(inject_files(_spread(part, passes), vocab, s, first, passes)).withColumn("order", order))
+            n = more.count()
+            # Of the last passes only as many as the quota lacks, in the order of a hash.
+            more = _lowest(more, quota - have) if n > quota - have else more
             w = more if w is None else w.unionByName(more)
             if not n:
                 break
-            have, first = have + n, first + passes
+            have, first = min(quota, have + n), first + passes
             passes = max(passes, -(-(quota - have) // max(1, have // first)))
-        # Of the last passes only as many as the quota lacks, in the order of a hash.
-        w = w.withColumn("order", F.md5(F.concat_ws("|", F.lit(str(s)), "repo", "path", "text"))).orderBy("pass", "order").limit(quota).drop("order", "pass").withColumn("split", F.lit(split))
+        w = w.drop("order").withColumn("split", F.lit(split))
         out = w if out is None else out.unionByName(w)
     return out
 
 
+def _spread(part: DataFrame, passes: int) -> DataFrame:
+    """Few files with many passes each are dealt to all cores."""
+    return part.repartition(part.sparkSession.sparkContext.defaultParallelism, "repo", "path") if passes > 1 else part
+
+
 def label_counts(dataset: DataFrame) -> DataFrame:
     """split, label, n over spans and distractors, most frequent first."""
     s = dataset.select("split", F.explode(F.concat("spans", "distractors")).alias("s"))

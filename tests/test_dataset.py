@@ -32,3 +32,20 @@ def test_files_are_counted_as_in_the_sql(spark, tmp_path):
 def test_places_are_those_of_the_whole_lexer():
     for text in ('"open', "`open", "/* open", "'", '"a\\', "", "a'b\"c'd\"e'", 'x := `a "b" // c` // "d"', "'\"' \"'\"", '"a\\\n"b"', "é😀\"z\" /* \" */", "type T struct {\n N int `x:\"y\"`\n}", '"struct" { `x` }', "1.2\"a\" ''\"b\"", "/ / \"\" `` //"):
         assert inject.places(text) == [(s["start"], s["end"], s["kind"]) for s in golang.find_sites(text) if s["kind"] in inject.INJECTABLE]
+
+
+def test_parts_are_those_of_the_split_and_injected_once(spark):
+    files = spark.createDataFrame([("r", f"f{i}.go", TEXT) for i in range(40)] + [("s", f"n{i}.go", "package x") for i in range(25)], FILES)
+    for fraction in (0.1, 0.5, 1.0):
+        last = inject.last_train(files, 7, fraction)
+        train = {(r.repo, r.path) for r in inject.split_files(files, 7, fraction).where("split = 'train'").collect()}
+        hashed = files.select(inject._file_hash(7).alias("h"), "repo", "path").collect()
+        assert {(r.repo, r.path) for r in hashed if last and tuple(r) <= last} == train
+    data = inject.build(files, target=30)
+    assert "MapInArrow" not in data._jdf.queryExecution().optimizedPlan().toString() and data.count() == 33
+
+
+def test_lowest_rows_without_sorting_all(spark):
+    rows = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("order")).persist()
+    for n in (1, 700, 2999, 3000):
+        assert sorted(r.id for r in inject._lowest(rows, n).collect()) == sorted(r.id for r in rows.orderBy("order").limit(n).collect())
